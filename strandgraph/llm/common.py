@@ -18,22 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and cuts its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only a local session without
-    one (tests) gets a folder of its own.
+    Only a local session without one (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        shared = tempfile.mkdtemp(dir="/tmp/checkpoints")
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            os.makedirs("/tmp/checkpoints", exist_ok=True)
-            shared = tempfile.mkdtemp(dir="/tmp/checkpoints")
         context.setCheckpointDir(shared)
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the cluster's shared checkpoint folder and cuts its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

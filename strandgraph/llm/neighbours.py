@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 40
-RECALL, PROBES = 0.97, 200
+SAMPLE_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 200
+RECALL, PROBES = 0.98, 300
 #: Rows and queries that meet in one task.
 CHUNK_ROWS, CHUNK_QUERIES = 4096, 1024
 
