@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Chinese numerals, dose units in qian, classification and feature rules.
 NUMERALS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
@@ -52,7 +53,7 @@ SYNONYMS = {"肢懈无力": "肢懈", "溺短热": "溺热", "溺赤热": "溺
 QUALITIES = {"微寒": "寒", "大寒": "寒", "微温": "温", "大温": "温", "大热": "热", "微凉": "凉"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC without white space: Spark has no built-in form of it."""
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))
