@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Lookup, checkpoint, folded, keep_texts, map_texts, rolling, rolling_up, table, windows
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
 GRAMS, FEATURES, CANDIDATES = (4, 5, 6), 512, 100_000
 #: Words kept in a task's counter before it is passed on.
@@ -260,18 +260,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chars = char_model(docs, text_col)
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         cache: dict[str, str] = {}
-        for batch in batches:
-            grams = [grams_of(restored(t or "", chars, cache)) for t in batch["text"]]
-            # Rows that share the least 5-word shingle are mostly copies of one another: one of them counts.
-            first = [int(g[0] >> np.uint64(1)) if len(g) else 0 for g in (rolling(folded(t or "")[0], 24) for t in batch["text"]) for g in [np.sort(g)]]
-            yield pd.DataFrame({"family": first, "y": batch["y"], "grams": [g.view(np.int64) for g in grams]})
+
+        def work(texts):
+            read = [restored(t or "", chars, cache) for t in texts]
+            # Rows that share the least run of 24 characters are mostly copies of one another: one of them counts.
+            runs = (rolling(folded(t)[0], 24) for t in read)
+            return None, ([int(r.min() >> np.uint64(1)) if len(r) else 0 for r in runs], read)
+
+        return work
 
     spread = max(2, min(docs.sparkSession.sparkContext.defaultParallelism * 2, 64))
     train = _train_rows(docs, labels, id_col, text_col, label_col, rows).repartition(spread)
-    train = train.mapInPandas(prepare, "family long, y int, grams array<long>")
-    train = checkpoint(train.groupBy("family", "y").agg(F.first("grams").alias("grams")))
+    train = map_texts(train, "text", {"y": "y"}, start, "family long, read string")
+    train = checkpoint(train.groupBy("family", "y").agg(F.min("read").alias("read")).select("y", "read"))
     total = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:
@@ -289,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for g in batch["grams"]:
-                n[lookup.find(np.asarray(g, np.int64).view(np.uint64))[1]] += 1
+            for text in batch["read"]:
+                n[lookup.find(grams_of(text))[1]] += 1
         at = np.flatnonzero(n)
         yield pd.DataFrame({"gram": keys[at].view(np.int64), "n": n[at]})
 
@@ -305,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "f": [lookup.find(np.asarray(g, np.int64).view(np.uint64))[1].astype(np.int32) for g in batch["grams"]]})
+            yield pd.DataFrame({"y": batch["y"], "f": [lookup.find(grams_of(t))[1].astype(np.int32) for t in batch["read"]]})
 
     sample = train.mapInPandas(features, "y int, f array<int>").toPandas()
     x = np.zeros((len(sample), len(keys) + 1), np.float32)
@@ -319,9 +322,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 500):
-            grams = [np.asarray(g, np.int64) for g in batch["grams"].iloc[at : at + 500]]
-            found, n = np.unique(np.concatenate(grams), return_counts=True)
-            yield pd.DataFrame({"gram": found, "n": n})
+            found, n = np.unique(np.concatenate([grams_of(t) for t in batch["read"].iloc[at : at + 500]]), return_counts=True)
+            yield pd.DataFrame({"gram": found.view(np.int64), "n": n})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
