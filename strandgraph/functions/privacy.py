@@ -37,7 +37,8 @@ VISIT_DATES = [
     (VISIT_DATE, "某日"),
 ]
 RECORD = (r"(?U)(?<![\d.])\d{7,8}(?![\d.])", "〔编号已删〕")
-AGE = (r"(?U)(?<!\d)(9\d|1\d\d)\s*岁", "90岁以上")
+# An age that is already told as 90 or more stays as it is.
+AGE = (r"(?U)(?<!\d)(9\d|1\d\d)\s*岁(?!以上)", "90岁以上")
 RESIDUAL = {
     "patient_header": HEADER,
     "full_date": "|".join([DATES[0][0], *[p.removeprefix("(?U)") for p, _ in DATES[1:4]]]),
