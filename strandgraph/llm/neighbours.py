@@ -22,8 +22,8 @@ from .common import checkpoint, table
 
 SAMPLE_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 200
 RECALL, PROBES = 0.98, 300
-#: Rows and queries that meet in one task.
-CHUNK_ROWS, CHUNK_QUERIES = 4096, 1024
+#: Rows of a chunk of a leaf; rows and queries that meet in one group; queries compared at once.
+CHUNK_ROWS, GROUP_ROWS, GROUP_QUERIES, BATCH = 4096, 8192, 20_000, 1024
 
 
 class Tree:
@@ -152,7 +152,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     asked = one(usable(queries, id_col, vector_col))
     kind = dict(rows.dtypes)["id"]
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
-    sample = np.array(drawn["v"].tolist(), np.float64).reshape(len(drawn), -1)
+    sample = np.array(drawn["v"].tolist(), np.float64) if len(drawn) else np.zeros((0, 1))
     tree = Tree(sample)
     most = calibrated_visits(tree, sample, k, recall) if len(sample) else 1
 
@@ -172,20 +172,29 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     put_rows = checkpoint(rows.mapInPandas(put, schema))
     # One row for each leaf, of which there are fewer than the sample has rows.
     chunks = put_rows.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("r"))
-    walked = asked.mapInPandas(walk, schema)
-    members = put_rows.join(F.broadcast(chunks), "leaf").select("leaf", "id", "v", F.pmod(F.xxhash64("id"), F.col("r")).cast("int").alias("r"))
-    visits = walked.join(F.broadcast(chunks), "leaf").select("leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("r"))
+    # Chunks of leaves are dealt to groups, so that a query gives k rows for a group and not for each leaf.
+    groups = -(-put_rows.count() // GROUP_ROWS) or 1
+    blocks = -(-asked.count() // GROUP_QUERIES) or 1
+    group = F.pmod(F.xxhash64("leaf", "r"), F.lit(groups)).cast("int").alias("g")
+    walked = asked.mapInPandas(walk, schema).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    members = put_rows.join(F.broadcast(chunks), "leaf").withColumn("r", F.pmod(F.xxhash64("id"), F.col("r")).cast("int"))
+    members = members.select("leaf", "r", "id", "v", group, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    visits = walked.join(F.broadcast(chunks), "leaf").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select("leaf", "r", "id", "v", group, "block")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            x, ids = np.array(right["v"].tolist(), np.float64), right["id"].to_numpy()
-            for at in range(0, len(left), CHUNK_QUERIES):
-                part = left.iloc[at : at + CHUNK_QUERIES]
+        held = dict(iter(right.groupby(["leaf", "r"])))
+        for key, asking in left.groupby(["leaf", "r"]):
+            if key not in held:
+                continue
+            x, ids = np.array(held[key]["v"].tolist(), np.float64), held[key]["id"].to_numpy()
+            for at in range(0, len(asking), BATCH):
+                part = asking.iloc[at : at + BATCH]
                 out += nearest(np.array(part["v"].tolist(), np.float64), part["id"].to_numpy(), x, ids, k)
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+        best = pd.DataFrame(out, columns=["query_id", "id", "score"]).sort_values(["query_id", "score", "id"])
+        return best.groupby("query_id").head(k)
 
-    found = visits.groupBy("leaf", "r").cogroup(members.groupBy("leaf", "r")).applyInPandas(search, f"query_id {kind}, id {kind}, score double")
+    found = visits.groupBy("g", "block").cogroup(members.groupBy("g", "block")).applyInPandas(search, f"query_id {kind}, id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
