@@ -1,0 +1,163 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from strandgraph.llm import chat as C
+from strandgraph.llm import neighbours as N
+from strandgraph.llm import queries
+from strandgraph.llm import sharding as H
+from strandgraph.llm import urlfilter as U
+from strandgraph.llm.common import connected_components
+
+from ..oracle import connection, spark_rows, sql_rows
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == sql_rows(connection(SF), queries.SQL[name])
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 100), (100, 100), (None, 5), (7, None)], "u int, v int")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(71)} | {100: 100, 200: 100}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+# --- urls
+
+
+def page(i, url, html=""):
+    return (i, url, html, "x", None)
+
+
+def test_url_verdicts(spark):
+    link = '<link href="{}" rel=canonical>'.replace("href", 'rel="canonical" href').replace(" rel=canonical", "")
+    refresh = '<META http-equiv="refresh" content="0; url={}">'
+    rows = [
+        page(1, "http://A.example.com/en/1"), page(2, "http://example.com/en/7x"), page(3, None), page(4, "no scheme"), page(5, "http://b.net/de/1"), page(6, "http://example.net/de/88?x"),
+        page(7, "http://alias.test/a", link.format("http://q.com/en/z")), page(8, "http://alias.test/b", refresh.format("/a#f")), page(9, "http://pardon.test/", link.format("http://example.com/en/7")),
+        page(10, "http://pardon.test/two", link.format("http://pardon.test")), page(11, "http://pardon.test/three", refresh.format("http://bad.com/en/q")), page(12, "http://pardon.test/three", link.format("http://pardon.test/two")),
+        page(13, "http://lonely.test/?q=1", None), page(1, "http://A.example.com/en/1"), page(None, "http://x.org/es/"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["by"]) for r in U.url_verdicts(pages).collect()}
+    assert got[1] == ("a.example.com", "/en/1", "com/en/", "block", "rule")
+    assert got[2][2:] == ("example.com/en/7", "allow", "rule") and got[5][2:4] == ("net/de/", "allow") and got[6][2:4] == ("example.net/de/8", "block")
+    assert got[3] == got[4] == ("", "", None, "allow", "default")
+    assert got[7][2:] == (None, "block", "alias") and got[8][2:] == (None, "block", "alias")
+    for i in (9, 10, 11, 12):
+        assert got[i][2:] == (None, "allow", "alias")
+    assert got[13][3:] == ("allow", "default") and got[None][3] == "block"
+    assert U.url_verdicts(pages).count() == len(rows) and U.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_url_verdicts_equal_sql(spark, tmp_path):
+    from pathlib import Path
+
+    rng = np.random.default_rng(1)
+    hosts = ["a.com", "b.net", "example.com", "example.net", "c.test", "d.test", "e.org"]
+    url = lambda: f"http://{hosts[rng.integers(7)]}/{['en', 'de', 'es'][rng.integers(3)]}/{rng.integers(9)}"
+    rows = [(i, url(), f'<p><link rel="canonical" href="{url()}">' if i % 3 == 0 else f'<meta http-equiv=refresh content="1;url={url()[13:]}">' if i % 3 == 1 else None) for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{next(Path(tmp_path).iterdir())}/*.parquet'")
+    assert spark_rows(U.op3_redirect_equivalence(spark, str(tmp_path))) == sql_rows(con, U.SQL["op3_redirect_equivalence"])
+
+
+# --- shards
+
+
+def test_flow_is_least():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        supply = rng.integers(0, 50, 5).tolist()
+        total = sum(supply)
+        room = [total * (j + 1) // 5 - total * j // 5 for j in range(5)]
+        flow = H.min_cost_flow(supply, room, [[int(i != j) for j in range(5)] for i in range(5)])
+        assert [sum(r) for r in flow] == supply and [sum(c) for c in zip(*flow, strict=True)] == room
+        assert sum(flow[i][j] for i in range(5) for j in range(5) if i != j) == sum(max(0, s - r) for s, r in zip(supply, room, strict=True))
+    costs = [[3, 1], [1, 9]]
+    assert H.min_cost_flow([4, 4], [4, 4], costs) == [[0, 4], [4, 0]]
+    with pytest.raises(ValueError):
+        H.min_cost_flow([5], [4], [[0]])
+
+
+def test_resharding(spark):
+    rows = [(i % 300 if i % 11 else None, "x" * (i * 37 % 500) if i % 7 else None, "hot" if i % 3 else f"s{i % 9}", i % 4, "clash") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, slot string")
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(8))
+    got = H.reshard(docs.select("doc_id", "text", "source"), old, H.text_bytes(F.col("text")), [F.col("doc_id"), F.col("text")], 8, 8, blocks=16).toPandas()
+    assert len(got) == 900 and got["size"].sum() == sum(len(r[1] or "") + 1 for r in rows)
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 2 * 501
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    before = got.groupby("old_shard")["size"].sum().reindex(range(8), fill_value=0)
+    least = (before - got["size"].sum() / 8).clip(lower=0).sum()
+    assert got[got["shard"] != got["old_shard"]]["size"].sum() <= least + 8 * 8 * 501
+    assert H.reshard(docs.limit(0).select("doc_id", "text"), F.lit(0), H.text_bytes(F.col("text")), [F.col("doc_id")], 4, 1).count() == 0
+
+
+def test_only_affected_shards_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 0), (2, 1, 2), (3, 3, 3)], "doc_id int, old_shard int, shard int")
+    H.rewrite_affected(rows, str(tmp_path / "out"))
+    assert {r["shard"] for r in spark.read.parquet(str(tmp_path / "out")).select("shard").collect()} == {2}
+
+
+# --- chats
+
+
+def test_snapshots_collapse(spark):
+    rows = [
+        (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
+        (4, 0, "user", "z"), (5, 0, None, None), (6, 0, None, ""), (7, None, "user", "q"), (7, 1, "user", "q"), (7, 1, "user", "q"), (None, 0, "user", "lost"),
+    ]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, hash string")
+    got = {r["conv_id"]: (r["n_turns"], r["n_collapsed"], r["rendered"]) for r in C.format_chats(turns).collect()}
+    assert set(got) == {2, 4, 5, 6, 7} and got[2][:2] == (3, 1) and got[7][0] == 3
+    assert got[4][2] == "<|im_start|>user\nz<|im_end|>\n"
+    assert C.format_chats(turns.limit(0)).count() == 0
+
+
+# --- neighbours
+
+
+def brute_neighbours(x, ids, queries, k):
+    out = {}
+    for q in queries:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        out[q] = [(int(i), s) for s, i in sorted(zip(d.tolist(), ids.tolist(), strict=True)) if i != q][:k]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    x = np.float32(centres[rng.integers(12, size=1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(float)
+    x[700:1200] = x[700]  # a hot vector
+    ids = np.arange(1500)
+    frame = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, rank int")
+    got = N.nearest_neighbours(frame, frame.where("vec_id % 20 = 0")).toPandas()
+    want = brute_neighbours(x, ids, range(0, 1500, 20), 10)
+    found = 0
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and q not in own["vec_id"].tolist()
+        assert own["score"].tolist() == sorted(own["score"])
+        found += len(set(own["vec_id"]) & {i for i, _ in want[q]})
+        for i, s in zip(own["vec_id"], own["score"], strict=True):
+            assert s == pytest.approx(np.sqrt(((x[i] - x[q]) ** 2).sum()), abs=1e-12)
+    assert len(got) == 750 and found / 750 >= 0.9
+
+
+def test_unusable_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in N.nearest_neighbours(frame, frame).orderBy("query_id", "rank").collect()]
+    assert [(q, r, i) for q, r, i, _ in got] == [(0, 1, 8), (0, 2, 7), (7, 1, 0), (7, 2, 8), (8, 1, 0), (8, 2, 7)]
+    assert N.nearest_neighbours(frame.limit(0), frame.limit(0)).count() == 0
