@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Chinese numerals, dose units in qian, classification and feature rules.
 NUMERALS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
@@ -59,10 +59,20 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))
 
 
-def holds_parts(text: Column, sentence: Column, norm=lambda c: c) -> Column:
-    """Whether every non-blank part of the sentence, split at " / ", is in the text; true without parts."""
-    parts = F.filter(F.split(sentence, " / "), lambda p: F.trim(p) != "")
-    return F.forall(parts, lambda p: text.contains(norm(p)))
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_parts(s: pd.Series) -> pd.Series:
+    """The non-blank parts of a sentence, split at " / ", each as nfkc() leaves it."""
+    return s.map(lambda t: None if t is None else ["".join(unicodedata.normalize("NFKC", p).split()) for p in t.split(" / ") if p.strip()])
+
+
+def parts_of(sentence: Column) -> Column:
+    """The non-blank parts of a sentence, split at " / "."""
+    return F.filter(F.split(sentence, " / "), lambda p: F.trim(p) != "")
+
+
+def holds_parts(text: Column, parts: Column) -> Column:
+    """Whether every part is in the text; true without parts."""
+    return F.forall(parts, lambda p: text.contains(p))
 
 
 def around(text: Column, word: str, reach: int = 80) -> Column:

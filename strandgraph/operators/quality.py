@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import holds_parts
+from ..functions.text import holds_parts, nfkc, nfkc_parts, parts_of
 from ..model import Graph
 from .pattern import isolates
 
@@ -45,17 +45,19 @@ def cardinality_exceptions(edges: DataFrame, ontology: DataFrame) -> DataFrame:
     return per.where("rows > 1").groupBy("type").agg(F.count("*").alias("by_rows"), F.count_if(F.col("objects") > 1).alias("by_objects"))
 
 
-def evidence(edges: DataFrame, passages: DataFrame, norm=lambda c: c) -> DataFrame:
+def evidence(edges: DataFrame, passages: DataFrame, normal: bool = False) -> DataFrame:
     """edges with evidence: found, not_found, no_passage_id, passage_unresolved or no_sentence, and evidence_in_passage
-    (null unless decided). norm is applied to both texts; passages need pid and text."""
-    texts = passages.select(F.col("pid").alias("passage_id"), norm(F.col("text")).alias("__text"))
+    (null unless decided). normal: both texts are compared as NFKC without white space. passages need pid and text."""
+    texts = passages.select(F.col("pid").alias("passage_id"), (nfkc("text") if normal else F.col("text")).alias("__text"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    found = holds_parts(F.col("__text"), F.col("source_sentence"), norm)
+    found = holds_parts(F.col("__text"), F.col("__parts"))
     state: Column = (
         F.when(blank("passage_id"), "no_passage_id").when(F.col("__text").isNull(), "passage_unresolved").when(blank("source_sentence"), "no_sentence")
         .when(found, "found").otherwise("not_found")
     )
-    out = edges.drop("evidence_in_passage").join(texts, "passage_id", "left").withColumn("evidence", state).drop("__text")
+    parts = nfkc_parts("source_sentence") if normal else parts_of(F.col("source_sentence"))
+    told = edges.drop("evidence_in_passage").withColumn("__parts", parts)
+    out = told.join(texts, "passage_id", "left").withColumn("evidence", state).drop("__text", "__parts")
     return out.withColumn("evidence_in_passage", F.when(F.col("evidence") == "found", True).when(F.col("evidence") == "not_found", False))
 
 

@@ -33,7 +33,7 @@ def flag(c: Column) -> Column:
 
 def node_table(nodes: DataFrame, attributes: list[str]) -> DataFrame:
     """Nodes under typed headers, aliases joined by ;."""
-    col = lambda n: F.col(n) if n in nodes.columns else F.lit(None)
+    col = lambda n: F.col(n) if n in nodes.columns else F.lit(None).cast("string")
     aliases = F.array_join(F.coalesce(col("aliases").cast("array<string>"), F.array().cast("array<string>")), ";")
     return nodes.select(
         F.col("id").alias(":ID"), F.col("name").alias("name:string"), aliases.alias("aliases:string[]"), F.col("cls").alias(":LABEL"),

@@ -66,7 +66,7 @@ def test_small_functions(spark):
         spark, X.span_days(F.array(F.lit("2022-07-01"), F.lit("2022-07-22"), F.lit("bad"))), X.span_days(F.array().cast("array<string>")), X.year(F.lit("约1905")), X.year(F.lit("x")),
         X.capped_age(F.lit("95")), X.capped_age(F.lit("x")), X.visits(F.lit("初诊 二诊 三诊")), X.around(F.lit("abcdef"), "cd", 1), X.without_count(F.lit("咳（12）")),
         X.engines_of(F.lit("eng (a/b、c)")), X.corpus_of(F.lit("第三章 / x"), {"甲": "a"}, "z"), X.corpus_of(F.lit("甲 / x"), {"甲": "a"}), X.layer_of(F.lit("r"), F.lit("modern"), {}), X.layer_of(F.lit("r"), F.lit("b"), {"r": "case"}),
-        X.holds_parts(F.lit("one two three"), F.lit("one / three")), X.holds_parts(F.lit("one"), F.lit(" / ")), X.holds_parts(F.lit("one"), F.lit("one / two")), X.six_digits(F.lit(3.14159265)), X.case_uid(F.lit("abc12345")),
+        *[X.holds_parts(F.lit(t), X.parts_of(F.lit(s))) for t, s in (("one two three", "one / three"), ("one", " / "), ("one", "one / two"))], X.six_digits(F.lit(3.14159265)), X.case_uid(F.lit("abc12345")),
     )
     assert row[0] == 21 and row[1] is None and tuple(row[2]) == (1905, True) and tuple(row[3]) == (None, None)
     assert row[4] == "90+" and row[5] is None and row[6] == 3 and row[7] == "bcde" and row[8] == "咳"

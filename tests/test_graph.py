@@ -79,11 +79,9 @@ def test_evidence(spark):
         [("p1", "a / b"), ("p1", "a / z"), ("p9", "a"), (None, "a"), ("", "a"), ("p1", None), ("p2", "ＡＢ")], "passage_id string, source_sentence string"
     ).withColumn("evidence_in_passage", F.lit(None).cast("boolean"))
     passages = spark.createDataFrame([("p1", "xaxb"), ("p2", "A B")], "pid string, text string")
-    from strandgraph.functions.text import nfkc
-
     got = sorted((r["evidence"], r["evidence_in_passage"]) for r in Q.evidence(edges, passages).collect())
     assert [x[0] for x in got] == ["found", "no_passage_id", "no_passage_id", "no_sentence", "not_found", "not_found", "passage_unresolved"]
-    normal = Q.evidence(edges.withColumn("source_sentence", nfkc("source_sentence")), passages.withColumn("text", nfkc("text")))
+    normal = Q.evidence(edges, passages, normal=True)
     assert normal.where("evidence = 'found'").count() == 2
 
 

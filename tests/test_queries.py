@@ -1,5 +1,5 @@
 import pytest
-from strandgraph.plans import analytics, catalogue, registry  # noqa: F401
+from strandgraph.plans import analytics, catalogue, registry, studies  # noqa: F401
 
 from .oracle import connection, spark_rows, sql_rows
 
