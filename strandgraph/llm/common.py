@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,32 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..operators.graph import connected_components, cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["checkpoint", "connected_components", "shared_folder"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only a local session without one (tests) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        shared = tempfile.mkdtemp(dir="/tmp/checkpoints")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    return shared
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and cuts its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+checkpoint = cut
 
 
 def map_texts(docs: DataFrame, text_col: str, passed: dict[str, str], start: Callable[[], Callable], made: str) -> DataFrame:
@@ -79,43 +61,6 @@ def keep_texts(docs: DataFrame, text_col: str, start: Callable[[], Callable[[lis
     return docs.mapInArrow(run, docs.schema)
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """Smallest reachable node of every node that has an edge: columns node, component.
-
-    Alternates the large-star and small-star steps, so that a chain of n nodes needs
-    about log(n) rounds. Edges with a null end and self-loops connect nothing; nodes
-    without another edge are left out. Node ids may be of any ordered type. Adjacency
-    is never gathered: each step is a pre-aggregated minimum and an inner join, which
-    adaptive execution splits where one node has very many edges.
-    """
-    now = checkpoint(
-        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-        .where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(low, "u")
-        small = (
-            kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        now = checkpoint(small)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(seen):
-            break
-        mark = tuple(seen)
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(stars.select("component", "component").distinct()).toDF("node", "component")
-
-
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 1_000_003
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, folded, map_texts, rolling, table, windows
+from .common import Lookup, folded, keep_texts, map_texts, rolling, table, windows
 
 Q, ERROR_RATE, MIN_CHARS = 8, 0.1, 25
 BLOCK_CHARS = 4_000_000
@@ -197,10 +197,23 @@ def benchmark_matches(
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose id has a match."""
-    hit = benchmark_matches(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    q: int = Q, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """docs without the rows whose text holds an item. Each row is judged by its own text, so null and repeated ids make no difference."""
+    for items in _blocks(benchmark, item_col, item_text, block_chars):
+        block = ItemBlock(items, q, error_rate, min_chars)
+
+        def start(block: ItemBlock = block):
+            def clean(texts):
+                hit = {h[0] for h in matches_in([t or "" for t in texts], block)} if block.ids else set()
+                return [i not in hit for i in range(len(texts))]
+
+            return clean
+
+        docs = keep_texts(docs, text_col, start)
+    return docs
 
 
 def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

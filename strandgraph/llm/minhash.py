@@ -8,11 +8,12 @@ similarity 0.75 shares no band with probability 5e-6); every link is then confir
 on the full sets.
 
 Groups are never expanded into pairs. Equal sets collapse to one representative
-first. Within a bucket each member is compared with the bucket's smallest id, then,
-only while members that were compared with nobody lie in more than one component,
-with further hubs, twice as many each round. When the rounds end, each pair of a
-bucket has been compared or is connected already, so no link between components is
-lost, whatever the bucket's size.
+first. Within a bucket each member is compared with one hub, the member that meets the
+most others. Only where members then still lie in several components, the bucket is dealt
+in chunks of bounded size, and those outside its largest component are compared with
+all others inside the tasks, which pass on links only. A pair is looked at in the first band that
+it shares. When this ends, each pair that shares a band has been compared or is connected
+already, so no link between components is lost, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, map_texts, table
@@ -30,6 +31,12 @@ from .common import checkpoint, connected_components, map_texts, table
 WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
+#: Members of a bucket's chunk; rows of a group of chunks.
+CHUNK, GROUP_ROWS = 512, 2000
+#: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 6 deviations away.
+LEAST_AGREEMENT = 0.75 - 6 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
+#: Up to so many pairs of ids (16 bytes each) are broadcast to the sets; more are joined by shuffle.
+BROADCAST_PAIRS = 20_000
 #: Memory bound of the word-hash cache of a task; when full it starts anew.
 CACHE_WORDS = 400_000
 
@@ -71,31 +78,34 @@ def shingle_set(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """The key of each band of the min-max signature of a set that isn't empty."""
+def band_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the min-max signature of a set that isn't empty: the key of each band, and a byte of each value."""
     low = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
     high = np.zeros(PERMUTATIONS, np.uint64)
     for at in range(0, len(values), 8192):
         part = np.multiply.outer(_SCALE, values[at : at + 8192]) + _SHIFT[:, None]
         np.minimum(low, part.min(axis=1), out=low)
         np.maximum(high, part.max(axis=1), out=high)
-    signature = np.stack([low, high], axis=1).reshape(BANDS, ROWS)
-    return mixed((mixed(signature) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    signature = mixed(np.stack([low, high], axis=1).reshape(BANDS, ROWS))
+    keys = mixed((signature * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return keys, (signature & np.uint64(255)).astype(np.uint8).ravel()
 
 
 def _signed():
     cache: dict[bytes, int] = {}
 
     def work(texts):
-        sizes, one, two, bands = [], [], [], []
+        sizes, one, two, bands, sketches = [], [], [], [], []
         for text in texts:
             values = shingle_set(text, cache)
             sizes.append(len(values))
             digest = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), np.int64)
             one.append(digest[0])
             two.append(digest[1])
-            bands.append(band_keys(values).view(np.int64) if len(values) else None)
-        return None, (sizes, one, two, bands)
+            keys, sketch = band_keys(values) if len(values) else (None, None)
+            bands.append(None if keys is None else keys.view(np.int64))
+            sketches.append(None if sketch is None else sketch.tobytes())
+        return None, (sizes, one, two, bands, sketches)
 
     return work
 
@@ -129,48 +139,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result. Other columns of docs are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = checkpoint(map_texts(rows, "text", {"id": "id"}, _signed, "n_shingles long, s1 long, s2 long, bands array<long>"))
+    signed = checkpoint(map_texts(rows, "text", {"id": "id"}, _signed, "n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
     with_set = signed.where("n_shingles > 0 and id is not null")
     reps = checkpoint(with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
 
     # One row with the bands for each set: min_by would drag the arrays through the aggregation.
-    firsts = with_set.join(reps, ["s1", "s2"]).where("id = rep").select("s1", "s2", "rep", "bands")
+    firsts = with_set.join(reps, ["s1", "s2"]).where("id = rep").select("rep", "bands", "sketch")
     entries = firsts.select("rep", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    buckets = checkpoint(entries.join(shared, ["band", "key"]).select("band", "key", F.col("rep").alias("id"), "hub", "n"))
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = checkpoint(entries.join(shared, ["band", "key"]).select("band", "key", F.col("rep").alias("id"), "n"))
 
-    wanted = buckets.select("id").distinct()
+    met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = buckets.join(met, "id").groupBy("band", "key").agg(F.min_by("id", F.struct((-F.col("met")).alias("m"), "id")).alias("hub"))
     # A text for each representative; a repeated id may have several texts, and all count.
-    full = checkpoint(map_texts(rows.join(wanted, "id", "left_semi"), "text", {"id": "id"}, _sets, "items binary"))
-    first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpoint(_verify(first, full))
-    near = links.where("linked").select("a", "b")
-    pending = buckets.where("n > 2 and id <> hub").select("band", "key", "id")
-    hubs = 1
-    while True:
-        component = connected_components(near, "a", "b")
-        pending = _pending(pending, component)
-        if pending.isEmpty():
-            break
-        order = Window.partitionBy("band", "key").orderBy("own", "component", "id")
-        ranked = pending.withColumn("r", F.row_number().over(order))
-        chosen = ranked.where(F.col("r") <= hubs).select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        asked = (
-            pending.join(chosen, ["band", "key"]).where("component <> ca")
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-            .join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        )
-        links = checkpoint(links.union(_verify(asked, full)))
-        near = links.where("linked").select("a", "b")
-        pending = checkpoint(ranked.where(F.col("r") > hubs).select("band", "key", "id"))
-        hubs *= 2
+    full = checkpoint(map_texts(rows.join(met.select("id"), "id", "left_semi"), "text", {"id": "id"}, _sets, "items binary"))
+    first = buckets.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    component = checkpoint(connected_components(_verify(first, full).where("linked"), "a", "b"))
+    rest = _pending(buckets.where("n > 2").select("band", "key", "id"), component)
+    if not rest.isEmpty():
+        # A repeated id has several sets and signatures; each is a member of its own.
+        known = full.join(firsts.select(F.col("rep").alias("id"), "bands", "sketch"), "id")
+        component = _merged(component, _links_within(rest, known))
 
     # Rows that share an id tie their sets together.
     with_rep = signed.join(reps, ["s1", "s2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     odd = with_rep.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     if not odd.isEmpty():
         more = with_rep.where("rep is not null").join(odd.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-        component = connected_components(near.union(more), "a", "b")
+        component = _merged(component, more)
     ids = component.select(F.col("node").alias("rep"), "component")
     return (
         with_rep.withColumn("node", F.coalesce("rep", "id"))
@@ -185,21 +181,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """pairs with linked: whether the full sets are similar enough."""
+    pairs = checkpoint(pairs)
     kind = dict(pairs.dtypes)["a"]
-    both = pairs.join(full.toDF("a", "a_items"), "a").join(full.toDF("b", "b_items"), "b")
-    checked = both.mapInPandas(_confirmed, f"a {kind}, b {kind}, linked boolean")
-    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    first, second = full.toDF("a", "a_items"), full.toDF("b", "b_items")
+    if pairs.count() <= BROADCAST_PAIRS:
+        both = first.join(F.broadcast(pairs), "a").join(second.join(F.broadcast(pairs.select("b").distinct()), "b"), "b")
+    else:
+        both = pairs.join(first, "a").join(second, "b")
+    checked = both.select("a", "b", "a_items", "b_items").mapInPandas(_confirmed, f"a {kind}, b {kind}, linked boolean")
+    return checkpoint(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")))
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that further links leave: only their roots are joined anew."""
+    if links.isEmpty():
+        return component
+    root = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"r{end}"))
+    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = checkpoint(connected_components(between, "a", "b"))
+    old = component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    new = joined.join(component.select("node"), "node", "left_anti")
+    return checkpoint(old.union(new))
+
+
+def _pending(buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component: band, key, id, component, most (the component with most members), n, small (members outside it)."""
+    at = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("own"))
+    parts = sizes.groupBy("band", "key").agg(
+        F.count("*").alias("parts"), F.sum("own").alias("n"), F.max("own").alias("largest"), F.max_by("component", F.struct("own", "component")).alias("most")
+    )
+    mixed_up = parts.where("parts > 1").select("band", "key", "n", "most", (F.col("n") - F.col("largest")).alias("small"))
+    return checkpoint(at.join(mixed_up, ["band", "key"]))
 
 
-def _pending(pending: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the component and its members in the bucket."""
-    at = (
-        pending.join(component.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("own"))
-    mixed_up = sizes.groupBy("band", "key").agg(F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return checkpoint(at.join(sizes.join(mixed_up, ["band", "key"]), ["band", "key", "component"]))
+def _links_within(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components.
+
+    Members outside the largest component are the asking side, in chunks; all members are the other side. Chunks
+    of small buckets are gathered to groups of about GROUP_ROWS rows.
+    """
+    kind = dict(rest.dtypes)["id"]
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), chunks(n)).cast("int")
+    columns = ["band", "key", "id", "component"]
+    asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, "x", "y")
+    asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, "x", "y")
+    groups = -(-rest.count() // GROUP_ROWS) or 1
+    where = F.pmod(F.xxhash64("band", "key", "x", "y"), F.lit(groups)).cast("int").alias("g")
+    side = lambda rows: rows.select("*", where).join(known, "id")
+    asking, asked = side(asking), side(asked)
+    asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
+    found = asking.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_compared, f"a {kind}, b {kind}")
+    return checkpoint(found.distinct())
+
+
+def _compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    links = []
+    held = dict(iter(right.groupby(["band", "key", "x", "y"], sort=False)))
+    for where, asking in left.groupby(["band", "key", "x", "y"], sort=False):
+        if where in held:
+            links += _chunk_links(int(where[0]), asking, held[where])
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _chunk_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame) -> list[tuple]:
+    ids, own = asked["id"].to_numpy(), asked["component"].to_numpy().copy()
+    sets = [np.frombuffer(x, np.uint64) for x in asked["items"]]
+    sizes = np.array([len(x) for x in sets])
+    bands = np.array(asked["bands"].tolist(), np.int64).reshape(len(asked), BANDS)
+    sketches = np.frombuffer(b"".join(asked["sketch"]), np.uint8).reshape(len(asked), 2 * PERMUTATIONS)
+    out = []
+    joined: dict = {}  # component to the one that it has joined here
+
+    def root(c):
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for a, c, items, keys, sketch in zip(asking["id"], asking["component"], asking["items"], asking["bands"], asking["sketch"], strict=True):
+        x = np.frombuffer(items, np.uint64)
+        near = (np.minimum(sizes, len(x)) * 100 >= PERCENT * np.maximum(sizes, len(x))) & (own != c)
+        near &= (sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= LEAST_AGREEMENT
+        if band and near.any():
+            at = np.flatnonzero(near)
+            near[at] = ~(bands[at, :band] == np.asarray(keys)[:band]).any(axis=1)
+        for i in np.flatnonzero(near).tolist():
+            if root(own[i]) == root(c):
+                continue
+            y = sets[i]
+            short, long = (x, y) if len(x) < len(y) else (y, x)
+            place = np.minimum(np.searchsorted(long, short), len(long) - 1)
+            both = int((long[place] == short).sum())
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                out.append((a, ids[i]))
+                joined[root(own[i])] = root(c)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
