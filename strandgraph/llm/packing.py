@@ -44,7 +44,8 @@ class WordEncoder:
     white space, so the ids of such stretches are looked up one by one, and only new words are
     encoded: in long stretches that are cut again where an id begins with a space, by a
     merging table over the file's own vocabulary, whose ids are the ranks of its merges.
-    Texts with a space before white space are encoded whole by the tokenizer itself.
+    Texts with a space before white space, and texts that hold an added token, are encoded
+    whole by the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -53,10 +54,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         letters = byte_letters()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)")
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.merging = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(max(ranks.values()) + 1, bool)
@@ -78,7 +79,7 @@ class WordEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t[:1] == " " or t[-1:] == " " or _GAP_BEFORE_GAP.search(t)]
+        whole = [i for i, t in enumerate(texts) if t[:1] == " " or t[-1:] == " " or _GAP_BEFORE_GAP.search(t) or self.added.search(t)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         words = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None and t}

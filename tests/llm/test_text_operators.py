@@ -191,6 +191,16 @@ def test_encoder_equals_tokenizer(tokenizer):
     assert e(texts) == e._encode(texts) and e(texts) == e._encode(texts)
 
 
+def test_encoder_gives_added_tokens_their_ids(tokenizer):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer)
+    texts = ["a <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "two words<|endoftext|>", "a <|endoftext |> y", "a b c", "<|endoftext|><|endoftext|> z"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in K.WordEncoder(tokenizer)(texts)]
+    assert got == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert got[0] == [64, 220, 50256, 331]
+
+
 def test_packing_is_whole(spark, tokenizer):
     rows = [(1, None), (2, ""), (3, "word " * 3000), (3, "word " * 3000), (None, "tail")] + [(10 + i, " ".join(words(5 * i, i))) for i in range(60)]
     got = K.packed_documents(docs(spark, rows), tokenizer).collect()
