@@ -1,8 +1,9 @@
 """Toxicity scoring of restored text.
 
-Writers hide words as "1d10t", "i d i o t" or "idiooot". Each suspicious stretch of a
-text becomes a lattice: a digit or sign may stand for a letter, a separator between
-single letters may be noise, a run of a letter may stand for one or two. Viterbi
+Writers hide words as "1d10t", "i d i o t", "idiooot" or all of it at once. Each
+suspicious stretch of a text, however long, becomes a lattice: a digit or sign may stand
+for a letter, separators between single letters or signs may be noise, a run of a letter
+may stand for one or two. Viterbi
 decoding picks the likeliest path under a noisy channel and a character trigram model,
 whose counts come from every word of the whole corpus. Stretches that offer one path
 only are left as they are. The restored text is then scored by a logistic model over
@@ -37,15 +38,16 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 COST_LEET, COST_JOIN, COST_RUN, COST_SIGN = 1.0, 0.5, 0.5, 9.0
 
 _SIGNS = re.escape("".join(c for c in LEET if not c.isdigit()))
-#: Single letters set apart, or a word with a digit or sign at its letters, or a letter three times or more.
-SUSPECT = re.compile(
-    rf"(?<![^\W_])(?:[^\W\d_][ .*_-]){{2,}}[^\W\d_](?![^\W_])"
-    rf"|(?<![\w{_SIGNS}])[\w{_SIGNS}]{{0,40}}?(?:[^\W\d_][\d@$]|[\d{_SIGNS}][^\W\d_]|([^\W\d_])\1\1)[\w{_SIGNS}]{{0,60}}"
-)
-#: Words beyond this length are keys or junk, not writing.
-LONGEST_WORD = 40
-
-LETTER, SIGN, GAP, JOINT = 1, 2, 4, 8
+_DIGITS = "".join(c for c in LEET if c.isdigit())
+_PLACE, _APART = rf"[^\W\d_]|[{_DIGITS}{_SIGNS}]", rf"[^\w{_SIGNS}]|_"
+#: Letters or LEET signs, alone or repeated, three or more of them set apart by runs of separators.
+SPACED = re.compile(rf"(?i:(?<![^\W_])(?:({_PLACE})(?<!\1\1)\1*+(?:{_APART})++){{2,}}({_PLACE})\2*+(?![^\W_]))")
+#: The same, or a word with a digit or sign at its letters, or a letter three times or more.
+SUSPECT = re.compile(rf"{SPACED.pattern}|(?<![\w{_SIGNS}])[\w{_SIGNS}]*?(?:[^\W\d_][\d@$]|[\d{_SIGNS}][^\W\d_]|([^\W\d_])\3\3)[\w{_SIGNS}]*")
+#: Longer stretches are read anew each time, so that the cache stays small.
+CACHED_STRETCH = 200
+
+LETTER, SIGN, GAP, ALNUM = 1, 2, 4, 8
 _CLASS: list[np.ndarray] = []
 
 
@@ -55,7 +57,7 @@ def classes(codes: np.ndarray) -> np.ndarray:
         bits = np.zeros(65536, np.uint8)
         for i in range(65536):
             c = chr(i)
-            bits[i] = LETTER * c.isalpha() | SIGN * (c in LEET) | GAP * c.isspace() | JOINT * (c in " .*_-")
+            bits[i] = LETTER * c.isalpha() | SIGN * (c in LEET) | GAP * c.isspace() | ALNUM * c.isalnum()
         _CLASS.append(bits)
     return _CLASS[0][np.minimum(codes, 65535)]
 
@@ -88,22 +90,30 @@ def plain(c: str) -> str:
 
 
 def decode(stretch: str, model: CharModel) -> str:
-    """The likeliest reading of a stretch."""
-    spaced = len(stretch) > 2 and all(c in " .*_-" for c in stretch[1::2])
+    """The likeliest reading of a stretch, in time linear in its length."""
+    spaced = SPACED.fullmatch(stretch) is not None
+    if spaced and not any(c.isalpha() for c in stretch):
+        return stretch
     steps: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(stretch):
         c = stretch[i]
         j = i
-        while j < len(stretch) and stretch[j].lower() == c.lower():
+        if spaced and not c.isalnum() and c not in LEET:
+            while not stretch[j].isalnum() and stretch[j] not in LEET:
+                j += 1
+            steps.append([("", COST_JOIN), (" ", 0.0)])
+            i = j
+            continue
+        low = c.lower()
+        while j < len(stretch) and stretch[j].lower() == low:
             j += 1
         run = j - i
-        if spaced and i % 2:
-            steps.append([("", COST_JOIN), (" ", 0.0)])
-            j = i + 1
-        elif c.isalpha():
+        if c.isalpha():
             if run >= 3:
                 steps.append([(c, COST_RUN), (c * 2, COST_RUN), (c * run, 0.0)])
+            elif spaced and run == 2:
+                steps.append([(c, COST_RUN), (c * 2, 0.0)])
             else:
                 steps.append([(c * run, 0.0)])
         elif c in LEET:
@@ -112,21 +122,49 @@ def decode(stretch: str, model: CharModel) -> str:
         else:
             steps.append([(c * run, 0.0)])
         i = j
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # What was read so far is a chain of (what came before, text).
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*steps, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, chain) in best.items():
             for out, extra in options:
                 x, y, total = a, b, cost + extra
-                for c in out:
+                for c in out[:3]:
                     p = plain(c)
                     z = ord(p) - 96 if p != " " else 0
                     total -= model.log[x][y][z] if y or z or x else 0.0
                     x, y = y, z
+                if len(out) > 3 and y:  # a run of one character
+                    total -= (len(out) - 3) * model.log[y][y][y]
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + out)
+                    after[x, y] = (total, (chain, out))
         best = after
-    return min(best.values())[1][:-1]
+    chain = min(best.values(), key=lambda v: v[0])[1]
+    parts = []
+    while chain:
+        chain, out = chain
+        parts.append(out)
+    return "".join(parts[:0:-1])
+
+
+def apart(codes: np.ndarray, kind: np.ndarray, low: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of stretches with three or more neighbouring words of one repeated letter or sign each."""
+    alnum = kind & ALNUM > 0
+    wordy = kind & (ALNUM | SIGN) > 0
+    new = wordy.copy()
+    new[1:] &= ~(wordy[:-1] & (alnum[1:] == alnum[:-1]))
+    starts = np.flatnonzero(new)
+    if len(starts) < 3:
+        return []
+    other = wordy & ~new
+    other[1:] &= low[1:] != low[:-1]
+    one = ~np.logical_or.reduceat(other, starts) & (kind[starts] & (LETTER | SIGN) > 0)
+    three = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
+    if not len(three):
+        return []
+    first = np.flatnonzero(np.diff(three, prepend=-9) > 1)
+    last = np.append(first[1:], len(three)) - 1
+    return list(zip(starts[three[first]].tolist(), starts[three[last] + 2].tolist(), strict=True))
 
 
 def suspicious(codes: np.ndarray) -> list[tuple[int, int]]:
@@ -137,24 +175,16 @@ def suspicious(codes: np.ndarray) -> list[tuple[int, int]]:
     letter, sign = kind & LETTER > 0, kind & SIGN > 0
     mark = np.zeros(len(codes), bool)
     mark[1:] |= letter[1:] & sign[:-1]
-    closing = letter[:-1] & sign[1:] & ((codes[1:] == 64) | (codes[1:] == 36) | (codes[1:] < 58) & (codes[1:] > 47))
-    closing[:-2] &= ~((codes[1:-2] == codes[2:-1]) & (codes[2:-1] == codes[3:]))
-    mark[:-1] |= closing
+    mark[:-1] |= letter[:-1] & sign[1:] & ((codes[1:] == 64) | (codes[1:] == 36) | (codes[1:] < 58) & (codes[1:] > 47))
     low = codes | 32
     mark[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    joint = kind & JOINT > 0
-    edge = np.ones(len(codes) + 2, bool)
-    edge[1:-1] = ~letter
-    alone = letter & edge[:-2] & edge[2:]
-    if len(codes) > 4:
-        apart = alone[:-4] & joint[1:-3] & alone[2:-2] & joint[3:-1] & alone[4:]
-        for i in (0, 2, 4):
-            mark[i : len(codes) - 4 + i] |= apart
-    places = np.flatnonzero(mark)
-    if not len(places):
+    places, spaced = np.flatnonzero(mark), apart(codes, kind, low)
+    if not len(places) and not spaced:
         return []
     gaps = np.concatenate([[-1], np.flatnonzero(kind & GAP), [len(codes)]])
-    words = np.unique(np.searchsorted(gaps, places))
+    found = [np.searchsorted(gaps, places)]
+    found += [np.arange(a, b + 1) for a, b in np.searchsorted(gaps, np.array(spaced, np.int64).reshape(-1, 2)).tolist()]
+    words = np.unique(np.concatenate(found))
     first = np.flatnonzero(np.diff(words, prepend=-9) > 1)
     last = np.append(first[1:], len(words)) - 1
     return list(zip((gaps[words[first] - 1] + 1).tolist(), gaps[words[last]].tolist(), strict=True))
@@ -162,18 +192,16 @@ def suspicious(codes: np.ndarray) -> list[tuple[int, int]]:
 
 def restored(text: str, model: CharModel, cache: dict[str, str]) -> str:
     """The text with each suspicious stretch in its likeliest reading."""
-
-    def read(m: re.Match) -> str:
-        return decode(m[0], model) if len(m[0]) <= LONGEST_WORD or " " in m[0] else m[0]
-
     out, at = [], 0
     for start, end in suspicious(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)):
         stretch = text[start:end]
         got = cache.get(stretch)
         if got is None:
-            if len(cache) > 100_000:
-                cache.clear()
-            got = cache[stretch] = SUSPECT.sub(read, stretch)
+            got = SUSPECT.sub(lambda m: decode(m[0], model), stretch)
+            if len(stretch) <= CACHED_STRETCH:
+                if len(cache) > 100_000:
+                    cache.clear()
+                cache[stretch] = got
         out += text[at:start], got
         at = end
     return "".join([*out, text[at:]]) if out else text

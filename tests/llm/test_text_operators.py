@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -154,6 +155,25 @@ def test_restoring(model, hidden, plain):
     assert T.restored(hidden, model.chars, {}) == plain
 
 
+@pytest.mark.parametrize(
+    ("hidden", "plain"),
+    [
+        ("1 d 1 0 t", "idiot"), ("i d 1 0 t", "idiot"), ("i/d/i/o/t", "idiot"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("1.d.1.0.t", "idiot"), ("i d i ooo t", "idiot"),
+        ("(1 d 1 0 t)", "(idiot)"), ("idi" + 40 * "o" + "t", "idiot"), ("idi" + 100_000 * "o" + "t", "idiot"), ("1d1" + 60 * "0" + "t", "idiot"), ("i.d.i.o.t." * 20 + "x", None), ("1 0 1", "1 0 1"),
+    ],
+)
+def test_restoring_combined_and_long_forms(model, hidden, plain):
+    got = T.restored(hidden, model.chars, {})
+    assert got == plain if plain is not None else "idiot" in got and "i.d" not in got
+
+
+def test_restoring_is_linear(model):
+    for text in ("!" * 200_000 + "a", "a b " * 50_000, "x1" * 50_000, "a" + "." * 200_000 + "b", "+ " * 100_000, "ab" * 100_000 + "1c"):
+        began = time.process_time()
+        T.restored(text, model.chars, {})
+        assert time.process_time() - began < 30
+
+
 def test_hidden_words_score_as_plain_ones(spark, model):
     say = lambda w: f"the on and {w} of that there is thing"
     rows = [(1, say("idiot moron")), (2, say("1d10t m0r0n")), (3, say("i d i o t m o r o n")), (4, say("thing other")), (5, None), (6, ""), (7, "x" * 300_000)]
