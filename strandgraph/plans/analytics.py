@@ -260,12 +260,24 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
 WITH a AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS r FROM lineitem)
 SELECT x.l_orderkey AS order_key, x.l_linenumber AS line, y.l_linenumber AS other FROM a x LEFT JOIN a y ON y.l_orderkey = x.l_orderkey AND y.l_partkey = x.l_partkey AND y.r = x.r + 1 WHERE x.l_orderkey < 2000""")
 def w02(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_partkey", "l_linenumber")
+    return followed(table(spark, d, "lineitem").where("l_orderkey < 2000"))
+
+
+def followed(lines: DataFrame) -> DataFrame:
+    """Each line with the next line of the same order and part, if any."""
+    lines = lines.select("l_orderkey", "l_partkey", "l_linenumber")
     ranked = lines.withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber")))
     later = ranked.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("other"), (F.col("r") - 1).alias("r"))
     return ranked.join(later, ["l_orderkey", "l_partkey", "r"], "left").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), "other")
 
 
+@query("w02_positional_join_all", """
+WITH a AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS r FROM lineitem)
+SELECT x.l_orderkey AS order_key, x.l_linenumber AS line, y.l_linenumber AS other FROM a x LEFT JOIN a y ON y.l_orderkey = x.l_orderkey AND y.l_partkey = x.l_partkey AND y.r = x.r + 1""")
+def w02_all(spark: SparkSession, d: str) -> DataFrame:
+    return followed(table(spark, d, "lineitem"))
+
+
 @query("w05_rank_comparison", """
 WITH a AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS r FROM (SELECT p_brand AS item, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1)),
 b AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS r FROM (SELECT p_brand AS item, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1))

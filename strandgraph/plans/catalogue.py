@@ -283,9 +283,20 @@ def sparql1(spark: SparkSession, d: str) -> DataFrame:
 @query("sparql2_statements_with_provenance", """
 SELECT 'order:' || l_orderkey AS subject, 'part:' || l_partkey AS object, count(*) AS n_support FROM lineitem WHERE l_orderkey < 50 GROUP BY l_orderkey, l_partkey""")
 def sparql2(spark: SparkSession, d: str) -> DataFrame:
-    g = star_graph(spark, d)
-    few = g.typed("orderHasPart").where(F.substring_index("subject_id", ":", -1).cast("long") < 50)
-    s = statements(few, ("n_support",))
+    return provenance(star_graph(spark, d).typed("orderHasPart").where(F.substring_index("subject_id", ":", -1).cast("long") < 50))
+
+
+def provenance(edges: DataFrame) -> DataFrame:
+    """Subject, object and support of each edge, by way of its statement."""
+    s = statements(edges, ("n_support",))
     pick = lambda p, name: s.where(F.col("p") == p).select("s", F.col("o").alias(name))
     rows = pick("subject", "subject").join(pick("object", "object"), "s").join(pick("n_support", "n_support"), "s")
     return rows.select("subject", "object", F.col("n_support").cast("long").alias("n_support"))
+
+
+@query("sparql2_statements_by_attribute", """
+SELECT 'order:' || l_orderkey AS subject, 'part:' || l_partkey AS object, count(*) AS n_support FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY l_orderkey, l_partkey""")
+def sparql2_by_attribute(spark: SparkSession, d: str) -> DataFrame:
+    g = star_graph(spark, d)
+    urgent = g.of("order").where(attr("o_orderpriority") == "1-URGENT").select(F.col("id").alias("subject_id"))
+    return provenance(g.typed("orderHasPart").join(urgent, "subject_id", "left_semi"))

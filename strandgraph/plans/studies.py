@@ -45,12 +45,24 @@ def a43(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey AS id, arg_max(l_linenumber, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS line, arg_max(p_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS part, arg_max(s_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS supplier
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey < 500 GROUP BY 1""")
 def g21(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    return evidence(spark, d, table(spark, d, "lineitem").where("l_orderkey < 500"))
+
+
+def evidence(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    """The line of largest quantity of each order, with the names of its part and supplier."""
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
     best = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.max_by(F.struct("l_linenumber", "p_partkey", "s_suppkey"), F.struct("l_quantity", "l_linenumber", "p_partkey", "s_suppkey")).alias("b")).select("id", "b.*")
     named = best.join(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
     return named.select("id", F.col("l_linenumber").alias("line"), F.col("p_name").alias("part"), F.col("s_name").alias("supplier"))
 
 
+@query("g21_evidence_chain_all", """
+SELECT l_orderkey AS id, arg_max(l_linenumber, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS line, arg_max(p_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS part, arg_max(s_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS supplier
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
+def g21_all(spark: SparkSession, d: str) -> DataFrame:
+    return evidence(spark, d, table(spark, d, "lineitem"))
+
+
 @query("g22_usage_features", """
 SELECT f AS feature, count(*) AS cases, sum(n)::BIGINT AS occurrences, min(doc_id) AS example FROM (
   SELECT doc_id, unnest([{'f': 'number', 'n': len(regexp_extract_all(text, '[0-9]{4,}'))}, {'f': 'license', 'n': len(regexp_extract_all(text, '[Ll]icen[cs]e'))}, {'f': 'sign', 'n': len(regexp_extract_all(text, '[%&$#]{3}'))}], recursive := true) FROM documents) WHERE n > 0 GROUP BY 1""")
