@@ -63,6 +63,13 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
     return P.top(P.degree(star_graph(spark, d).edges, "n_support"), 100, F.desc("degree"), F.asc("id"))
 
 
+@query("a07_degree_all", f"""
+WITH {VIEWS}, x AS (SELECT s AS id, n_support FROM e UNION ALL SELECT o, n_support FROM e)
+SELECT id, count(*) AS degree, sum(n_support)::BIGINT AS strength FROM x GROUP BY id""")
+def a07_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.degree(star_graph(spark, d).edges, "n_support")
+
+
 @query("a10_modes", """
 WITH c AS (SELECT o_orderpriority AS g, l_quantity AS v, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
 t AS (SELECT g, sum(n) AS total, max(n) AS best FROM c GROUP BY g)

@@ -1,5 +1,5 @@
 from strandgraph.plans import analytics, catalogue, registry, studies  # noqa: F401
-from strandgraph.sources.testdata import table
+from strandgraph.sources.testdata import star_graph, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,3 +19,9 @@ def test_no_id_range_is_left_out(spark):
 def test_next_line_of_the_same_part(spark):
     lines = spark.createDataFrame([(9000, 7, 1), (9000, 8, 2), (9000, 7, 3), (9000, 7, 6), (9001, 7, 1)], "l_orderkey long, l_partkey long, l_linenumber int")
     assert {tuple(r) for r in analytics.followed(lines).collect()} == {(9000, 1, 3), (9000, 3, 6), (9000, 6, None), (9000, 2, None), (9001, 1, None)}
+
+
+def test_every_row_of_degree_and_timeline(spark):
+    edges = star_graph(spark, SF).edges
+    assert rows(spark, "a07_degree_all").count() == edges.select("subject_id").union(edges.select("object_id")).distinct().count()
+    assert rows(spark, "a43_timeline_all").count() == table(spark, SF, "orders").groupBy("o_custkey").count().where("count >= 2").count()
