@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of narrow columns (two or three ids) that one task takes in its stride.
+TASK_ROWS = 250_000
+
+
+def gathered(rows: DataFrame, count: int) -> DataFrame:
+    """rows, of which there are `count`, in partitions of about TASK_ROWS at least; all of a small table in one, whose groups and joins
+    then need no shuffle. Larger tables keep their partitions."""
+    return rows.coalesce(max(1, math.ceil(count / TASK_ROWS)))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns node, component.
 
@@ -51,6 +62,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     )
     mark = _mark(now)
     while mark[0]:
+        now = gathered(now, mark[0])
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
