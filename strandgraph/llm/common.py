@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..operators.graph import connected_components, cut, shared_folder
+from ..operators.graph import connected_components, cut, gathered, shared_folder
 
-__all__ = ["checkpoint", "connected_components", "shared_folder"]
+__all__ = ["checkpoint", "connected_components", "gathered", "shared_folder"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

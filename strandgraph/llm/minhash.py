@@ -3,16 +3,17 @@
 A document's set holds 64-bit hashes of its distinct 5-word shingles. Each of 64
 permutations gives two signature values, the minimum and the maximum of the permuted
 set: 128 values for 64 evaluations, each equal in two sets with probability equal to
-their Jaccard similarity. 32 bands of 4 values propose candidates (a pair at
-similarity 0.75 shares no band with probability 5e-6); every link is then confirmed
-on the full sets.
+their Jaccard similarity. 32 bands of 4 values, each from a permutation of its own,
+propose candidates (a pair at similarity 0.75 shares no band with probability 5e-6);
+every link is then confirmed on the full sets.
 
 Groups are never expanded into pairs. Equal sets collapse to one representative
 first. Within a bucket each member is compared with one hub, the member that meets the
-most others. Only where members then still lie in several components, the bucket is dealt
-in chunks of bounded size, and those outside its largest component are compared with
-all others inside the tasks, which pass on links only. A pair is looked at in the first band that
-it shares. When this ends, each pair that shares a band has been compared or is connected
+most others. Only where members then still lie in several components, those outside the
+bucket's largest component are compared with all others, inside tasks, which pass on
+links only. Each comparison is made in tiles: a hub's (at most 32) buckets are dealt by
+chunks of their ids, so that a set is sent once to a tile, however many bands it shares
+there. When this ends, each pair that shares a band has been compared or is connected
 already, so no link between components is lost, whatever the bucket's size.
 """
 
@@ -26,17 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, map_texts, table
+from .common import checkpoint, connected_components, gathered, map_texts, table
 
 WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
-#: Members of a bucket's chunk; rows of a group of chunks.
-CHUNK, GROUP_ROWS = 512, 2000
-#: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 6 deviations away.
-LEAST_AGREEMENT = 0.75 - 6 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
-#: Up to so many pairs of ids (16 bytes each) are broadcast to the sets; more are joined by shuffle.
-BROADCAST_PAIRS = 20_000
+#: Members of a tile's chunk; bytes of sets in a group of tiles, which is what a task takes at once.
+CHUNK, GROUP_BYTES = 512, 12 << 20
+#: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 8 deviations away.
+LEAST_AGREEMENT = 0.75 - 8 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
+#: Up to so many (group, id) rows of 16 bytes are broadcast to the sets; more are joined by shuffle.
+BROADCAST_ROWS = 20_000
 #: Memory bound of the word-hash cache of a task; when full it starts anew.
 CACHE_WORDS = 400_000
 
@@ -86,7 +87,8 @@ def band_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.multiply.outer(_SCALE, values[at : at + 8192]) + _SHIFT[:, None]
         np.minimum(low, part.min(axis=1), out=low)
         np.maximum(high, part.max(axis=1), out=high)
-    signature = mixed(np.stack([low, high], axis=1).reshape(BANDS, ROWS))
+    # Of small sets a permutation's minimum and maximum depend on each other, so a band takes them from four permutations.
+    signature = mixed(np.concatenate([low.reshape(BANDS, 2), np.roll(high, 2).reshape(BANDS, 2)], axis=1))
     keys = mixed((signature * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     return keys, (signature & np.uint64(255)).astype(np.uint8).ravel()
 
@@ -112,22 +114,28 @@ def _signed():
 
 def _sets():
     cache: dict[bytes, int] = {}
-    return lambda texts: (None, ([shingle_set(t, cache).tobytes() for t in texts],))
 
+    def work(texts):
+        items, one, two = [], [], []
+        for text in texts:
+            values = shingle_set(text, cache)
+            items.append(values.tobytes())
+            digest = np.frombuffer(xxhash.xxh3_128_digest(items[-1]), np.int64)
+            one.append(digest[0])
+            two.append(digest[1])
+        return None, (items, one, two)
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        linked = []
-        for a, b in zip(batch["a_items"], batch["b_items"], strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            short, long = (x, y) if len(x) < len(y) else (y, x)
-            if 100 * len(short) < PERCENT * len(long):
-                linked.append(False)
-                continue
-            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-            both = int((long[at] == short).sum())
-            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch[["a", "b"]].assign(linked=linked)
+    return work
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are near-duplicates."""
+    short, long = (x, y) if len(x) < len(y) else (y, x)
+    if not len(short) or 100 * len(short) < PERCENT * len(long):
+        return False
+    at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+    both = int((long[at] == short).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,144 +149,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = checkpoint(map_texts(rows, "text", {"id": "id"}, _signed, "n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
     with_set = signed.where("n_shingles > 0 and id is not null")
-    reps = checkpoint(with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
-
-    # One row with the bands for each set: min_by would drag the arrays through the aggregation.
-    firsts = with_set.join(reps, ["s1", "s2"]).where("id = rep").select("rep", "bands", "sketch")
-    entries = firsts.select("rep", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = checkpoint(entries.join(shared, ["band", "key"]).select("band", "key", F.col("rep").alias("id"), "n"))
+    reps = checkpoint(with_set.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
+    # The band's number is part of its key. Counts are joined from a table of their own, so that a hot key can be split.
+    entries = reps.select("id", F.explode("bands").alias("key"))
+    shared = checkpoint(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = checkpoint(entries.join(shared, "key"))
+    buckets = gathered(buckets, buckets.count())
     met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
-    hubs = buckets.join(met, "id").groupBy("band", "key").agg(F.min_by("id", F.struct((-F.col("met")).alias("m"), "id")).alias("hub"))
-    # A text for each representative; a repeated id may have several texts, and all count.
-    full = checkpoint(map_texts(rows.join(met.select("id"), "id", "left_semi"), "text", {"id": "id"}, _sets, "items binary"))
-    first = buckets.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    component = checkpoint(connected_components(_verify(first, full).where("linked"), "a", "b"))
-    rest = _pending(buckets.where("n > 2").select("band", "key", "id"), component)
-    if not rest.isEmpty():
-        # A repeated id has several sets and signatures; each is a member of its own.
-        known = full.join(firsts.select(F.col("rep").alias("id"), "bands", "sketch"), "id")
-        component = _merged(component, _links_within(rest, known))
+    hubs = checkpoint(buckets.join(met, "id").groupBy("key").agg(F.min_by("id", F.struct((-F.col("met")).alias("m"), "id")).alias("hub")))
+    starred = checkpoint(buckets.join(gathered(hubs, hubs.count()), "key"))
+    starred = gathered(starred, starred.count())
+
+    # The set and signature of each member; a repeated id may have several, and all count.
+    members = reps.join(checkpoint(met.select("id")), "id", "left_semi").withColumnsRenamed({"s1": "r1", "s2": "r2"})
+    passed = {c: c for c in ("id", "r1", "r2", "bands", "sketch")}
+    sets = map_texts(members.join(rows, "id"), "text", passed, _sets, "items binary, s1 long, s2 long")
+    full = checkpoint(sets.where("s1 = r1 and s2 = r2").select("id", "items", "bands", "sketch"))
 
     # Rows that share an id tie their sets together.
-    with_rep = signed.join(reps, ["s1", "s2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    odd = with_rep.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    links = _links_to_hubs(starred, full)
+    odd = with_set.groupBy("id").agg(F.min("s1").alias("l1"), F.max("s1").alias("h1"), F.min("s2").alias("l2"), F.max("s2").alias("h2")).where("l1 <> h1 or l2 <> h2")
+    odd = checkpoint(odd.select("id"))
     if not odd.isEmpty():
-        more = with_rep.where("rep is not null").join(odd.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-        component = _merged(component, more)
-    ids = component.select(F.col("node").alias("rep"), "component")
+        of_odd = with_set.join(odd, "id").select("id", "s1", "s2").distinct()
+        links = links.union(of_odd.join(reps.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).select(F.col("id").alias("a"), "b"))
+    component = checkpoint(connected_components(links, "a", "b"))
+    component = gathered(component, component.count())
+    place = reps.select("s1", "s2", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("s1", "s2", "c")
+    rest = _pending(starred, component)
+    if not rest.isEmpty():
+        further = checkpoint(connected_components(_links_within(rest, full), "a", "b")).toDF("c", "component")
+        place = place.join(further, "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("c"))
     return (
-        with_rep.withColumn("node", F.coalesce("rep", "id"))
-        .join(ids.withColumnRenamed("rep", "node"), "node", "left")
+        signed.select("id", "n_shingles", "s1", "s2")
+        .join(place, ["s1", "s2"], "left")
         .select(
             F.col("id").alias(id_col),
             "n_shingles",
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"),
+            F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )
 
 
-def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """pairs with linked: whether the full sets are similar enough."""
-    pairs = checkpoint(pairs)
-    kind = dict(pairs.dtypes)["a"]
-    first, second = full.toDF("a", "a_items"), full.toDF("b", "b_items")
-    if pairs.count() <= BROADCAST_PAIRS:
-        both = first.join(F.broadcast(pairs), "a").join(second.join(F.broadcast(pairs.select("b").distinct()), "b"), "b")
-    else:
-        both = pairs.join(first, "a").join(second, "b")
-    checked = both.select("a", "b", "a_items", "b_items").mapInPandas(_confirmed, f"a {kind}, b {kind}, linked boolean")
-    return checkpoint(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")))
-
-
-def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
-    """The components that further links leave: only their roots are joined anew."""
-    if links.isEmpty():
-        return component
-    root = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"r{end}"))
-    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = checkpoint(connected_components(between, "a", "b"))
-    old = component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
-    new = joined.join(component.select("node"), "node", "left_anti")
-    return checkpoint(old.union(new))
-
-
-def _pending(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component: band, key, id, component, most (the component with most members), n, small (members outside it)."""
-    at = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = at.groupBy("band", "key", "component").agg(F.count("*").alias("own"))
-    parts = sizes.groupBy("band", "key").agg(
-        F.count("*").alias("parts"), F.sum("own").alias("n"), F.max("own").alias("largest"), F.max_by("component", F.struct("own", "component")).alias("most")
-    )
-    mixed_up = parts.where("parts > 1").select("band", "key", "n", "most", (F.col("n") - F.col("largest")).alias("small"))
-    return checkpoint(at.join(mixed_up, ["band", "key"]))
+def _with_sets(members: DataFrame, full: DataFrame, tile: list[str], compare, kind: str) -> DataFrame:
+    """What `compare` finds in groups of tiles: members (rows with id and the columns that name their tile) beside the sets of their ids, each set once a group."""
+    members = checkpoint(members)
+    size = full.agg(F.avg(F.length("items"))).first()[0] or 1.0
+    groups = int(members.count() * size / GROUP_BYTES) + 1
+    members = members.withColumn("g", F.pmod(F.xxhash64(*tile), F.lit(groups)).cast("int"))
+    need = checkpoint(members.select("g", "id").distinct())
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    sets = full.join(need, "id")
+    sets = sets.toDF(*sets.columns)  # columns of its own, as both sides come from one table
+    return members.groupBy("g").cogroup(sets.groupBy("g")).applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def _links_to_hubs(starred: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) of members with the hubs of their buckets."""
+    kind = dict(starred.dtypes)["id"]
+    pairs = starred.where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n"))
+    pairs = pairs.withColumn("y", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    # A hub is a member of each of its tiles.
+    both = pairs.select("hub", "y", "id").union(pairs.select("hub", "y", F.col("hub").alias("id")).distinct())
+    return _with_sets(both, full, ["hub", "y"], _hub_links, kind)
+
+
+def _hub_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    held = _held(sets)
+    links = [(hub, i) for hub, i in zip(members["hub"], members["id"], strict=True) if hub != i and any(similar(x[0], y[0]) for x in held.get(hub, ()) for y in held.get(i, ()))]
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _held(sets: pd.DataFrame) -> dict:
+    """Set, keys of bands and sketch by id; of a repeated id several."""
+    out: dict = {}
+    for i, items, bands, sketch in zip(sets["id"], sets["items"], sets["bands"], sets["sketch"], strict=True):
+        out.setdefault(i, []).append((np.frombuffer(items, np.uint64), np.asarray(bands), np.frombuffer(sketch, np.uint8)))
+    return out
 
 
-def _links_within(rest: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between members of a bucket that lie in different components.
+def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component: key, id, hub, component, most (the component with most members of the bucket), and over
+    the hub's buckets the most members and the most members outside `most`."""
+    at = starred.where("n > 2").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "hub", "component")
+    at = checkpoint(at)
+    at = gathered(at, at.count())
+    sizes = at.groupBy("key", "hub", "component").agg(F.count("*").alias("own"))
+    parts = sizes.groupBy("key", "hub").agg(F.count("*").alias("parts"), F.sum("own").alias("n"), F.max("own").alias("largest"), F.max_by("component", F.struct("own", "component")).alias("most")).where("parts > 1")
+    parts = checkpoint(parts)
+    parts = gathered(parts, parts.count())
+    widest = parts.groupBy("hub").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("largest")).alias("small"))
+    rest = checkpoint(at.join(parts.select("key", "most").join(widest.join(parts.select("hub", "key"), "hub"), "key"), ["key", "hub"]))
+    return gathered(rest, rest.count())
 
-    Members outside the largest component are the asking side, in chunks; all members are the other side. Chunks
-    of small buckets are gathered to groups of about GROUP_ROWS rows.
+
+def _links_within(rest: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) of components by members of a bucket that lie in different ones.
+
+    Members outside the bucket's largest component are the asking side; all members are the other side.
     """
     kind = dict(rest.dtypes)["id"]
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
     of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), chunks(n)).cast("int")
-    columns = ["band", "key", "id", "component"]
-    asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, "x", "y")
-    asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, "x", "y")
-    groups = -(-rest.count() // GROUP_ROWS) or 1
-    where = F.pmod(F.xxhash64("band", "key", "x", "y"), F.lit(groups)).cast("int").alias("g")
-    side = lambda rows: rows.select("*", where).join(known, "id")
-    asking, asked = side(asking), side(asked)
-    asked = asked.toDF(*asked.columns)  # columns of its own, as both sides come from one table
-    found = asking.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_compared, f"a {kind}, b {kind}")
-    return checkpoint(found.distinct())
-
-
-def _compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    links = []
-    held = dict(iter(right.groupby(["band", "key", "x", "y"], sort=False)))
-    for where, asking in left.groupby(["band", "key", "x", "y"], sort=False):
-        if where in held:
-            links += _chunk_links(int(where[0]), asking, held[where])
-    return pd.DataFrame(links, columns=["a", "b"])
+    columns = ["hub", "key", "id", "component", "x", "y"]
+    asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
+    asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
+    return _with_sets(asking.union(asked), full, ["hub", "x", "y"], _component_links, kind)
 
 
-def _chunk_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame) -> list[tuple]:
-    ids, own = asked["id"].to_numpy(), asked["component"].to_numpy().copy()
-    sets = [np.frombuffer(x, np.uint64) for x in asked["items"]]
-    sizes = np.array([len(x) for x in sets])
-    bands = np.array(asked["bands"].tolist(), np.int64).reshape(len(asked), BANDS)
-    sketches = np.frombuffer(b"".join(asked["sketch"]), np.uint8).reshape(len(asked), 2 * PERMUTATIONS)
-    out = []
-    joined: dict = {}  # component to the one that it has joined here
+def _component_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    held, links = _held(sets), []
+    joined: dict = {}  # component to the one that it has joined in this group
 
     def root(c):
         while c in joined:
             c = joined[c]
         return c
 
-    for a, c, items, keys, sketch in zip(asking["id"], asking["component"], asking["items"], asking["bands"], asking["sketch"], strict=True):
-        x = np.frombuffer(items, np.uint64)
-        near = (np.minimum(sizes, len(x)) * 100 >= PERCENT * np.maximum(sizes, len(x))) & (own != c)
-        near &= (sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= LEAST_AGREEMENT
-        if band and near.any():
+    for (_, _, _, key), bucket in members.groupby(["hub", "x", "y", "key"], sort=False):
+        asks = bucket["asks"].to_numpy()
+        side = lambda which: [(c, *one) for i, c in zip(bucket["id"][which], bucket["component"][which], strict=True) for one in held.get(i, ())]  # noqa: E731, B023
+        asked = side(~asks)
+        if not asked:
+            continue
+        sizes, bands, sketches = np.array([len(x[1]) for x in asked]), np.stack([x[2] for x in asked]), np.stack([x[3] for x in asked])
+        for c, items, own, sketch in side(asks):
+            near = np.minimum(sizes, len(items)) * 100 >= PERCENT * np.maximum(sizes, len(items))
+            near &= (sketches == sketch).mean(axis=1) >= LEAST_AGREEMENT
             at = np.flatnonzero(near)
-            near[at] = ~(bands[at, :band] == np.asarray(keys)[:band]).any(axis=1)
-        for i in np.flatnonzero(near).tolist():
-            if root(own[i]) == root(c):
-                continue
-            y = sets[i]
-            short, long = (x, y) if len(x) < len(y) else (y, x)
-            place = np.minimum(np.searchsorted(long, short), len(long) - 1)
-            both = int((long[place] == short).sum())
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                out.append((a, ids[i]))
-                joined[root(own[i])] = root(c)
-    return out
+            # A pair is looked at in the first band that it shares.
+            for j in at[(bands[at] == own).argmax(axis=1) == (own == key).argmax()].tolist():
+                d, theirs = asked[j][:2]
+                if root(c) != root(d) and similar(items, theirs):
+                    links.append((c, d))
+                    joined[root(d)] = root(c)
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
