@@ -63,17 +63,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     mark = _mark(now)
     while mark[0]:
         now = gathered(now, mark[0])
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(now, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        small = _pairs(large.join(low, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
         now = cut(small)
         before, mark = mark, _mark(now)
         if mark == before:
@@ -82,6 +78,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     return stars.union(stars.select("component", "component").distinct()).toDF("node", "component")
 
 
+def _pairs(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """u, v: each of some pairs of columns of each row, in the row's own partition."""
+    pairs = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])
+    return rows.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Number and hash sum of edges: equal if, but for chance, the edges are."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
