@@ -4,8 +4,9 @@ Pieces of documents are dealt over partitions and packed best-fit decreasing. Du
 feasible functions give each partition a lower bound on its number of bins. While
 partitions need more bins than their bounds, the documents of their bins that aren't
 full are exchanged: dealt anew over fewer partitions, packed again, and the result is
-taken if it needs fewer bins. Each packing task holds lengths and ids, never texts,
-of a bounded number of pieces.
+taken if it needs fewer bins; this ends when the bounds are met or an exchange saves no bin.
+`certificate` then holds the number of sequences against the bound of all pieces together.
+Each packing task holds lengths and row numbers, never texts, of a bounded number of pieces.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, map_texts, table
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces packed in one task, and how often open bins are exchanged at most.
-PER_TASK, ROUNDS = 20_000, 4
+#: Pieces packed in one task.
+PER_TASK = 20_000
 #: Memory bound of the cache of encoded words of a task; when full it starts anew.
 CACHE_WORDS = 300_000
 
@@ -157,66 +158,65 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def bins_at_least(lengths: np.ndarray, capacity: int) -> int:
-    """The best of the lower bounds that dual feasible functions give.
+    """The best of the lower bounds that dual feasible functions give on the bins for some lengths."""
+    return _bound(np.bincount(lengths, minlength=capacity + 1))
+
+
+def _bound(count: np.ndarray) -> int:
+    """The bound for count[n] items of each length n up to the capacity.
 
     Rounding functions u_k (k = 1 to 20), and for each threshold up to half the capacity the
     function that counts large items as whole, small ones as nothing and others as they are.
     """
-    if not len(lengths):
-        return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    capacity, n = len(count) - 1, count.astype(np.int64)
     size = np.arange(capacity + 1)
     best = -(-int((n * size).sum()) // capacity)
     for k in range(1, 21):
         whole = (k + 1) * size % capacity == 0
         value = np.where(whole, size * k, ((k + 1) * size // capacity) * capacity)  # in 1 / (k * capacity)
         best = max(best, -(-int((n * value).sum()) // (k * capacity)))
-    count, total = np.cumsum(n), np.cumsum(n * size)
+    number, total = np.cumsum(n), np.cumsum(n * size)
     cut = np.arange(1, capacity // 2 + 1)
-    large = count[-1] - count[capacity - cut]
+    large = number[-1] - number[capacity - cut]
     rest = total[capacity - cut] - total[cut - 1]
-    return max(best, int((large + -(-rest // capacity)).max()))
+    return max(best, int((large + -(-rest // capacity)).max(initial=0)))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, rounds: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset; pieces need a column length of 1 to capacity and keep their other columns.
 
     Pieces of a full sequence are one of their own. No two sequences share an id, and no
     sequence holds more than the capacity; offsets are gapless from 0. Any row may repeat.
+    Exchanges go on until they save nothing, or for as many rounds as given.
+    Columns of pieces that are called sequence_id or offset are replaced; any other name may occur.
     """
-    names = pieces.columns
-    held = checkpoint(pieces.withColumn("__row", F.monotonically_increasing_id()))
-    full = held.where(F.col("length") >= capacity).select(*names, (F.lit(1 << 62) + F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    open_rows = held.where(F.col("length") < capacity)
-    done: list[DataFrame] = []
-    bins = None
-    for number in range(rounds + 1):
-        size = open_rows.count()
-        if not size:
-            break
+    names = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
+    back = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+    held = checkpoint(pieces.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("row")))
+    placed = held.where(F.col("length") >= capacity).select(*back, (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    open_rows, bins, number = held.where(F.col("length") < capacity), None, 0
+    size = open_rows.count()
+    while size:
         parts = -(-size // per_task)
-        dealt = open_rows.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(number)), F.lit(parts)).cast("long"))
+        dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)).cast("long"))
         packed = checkpoint(_packed(dealt, capacity, number))
-        sums = packed.groupBy("__part").agg(F.max("__bins").alias("bins"), F.max("__least").alias("least"))
+        sums = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("least").alias("least"))
         now = sums.agg(F.sum("bins"), F.sum(F.col("bins") - F.col("least"))).first()
-        if bins is not None and now[0] >= bins:
-            break
-        # Bins of partitions that meet their bound are final; so are full bins of the others.
-        settled = (F.col("__bins") == F.col("__least")) | (F.col("__fill") == capacity)
-        last = number == rounds or now[1] == 0 or parts == 1
-        done.append(packed if last else packed.where(settled))
-        if last:
-            open_rows, keep = None, None
+        if bins is not None and now[0] >= bins:  # the last exchange saved nothing
+            packed, settled = before, None
+        elif parts == 1 or now[1] == 0 or number == rounds:
+            settled = None
+        else:
+            # Bins of partitions that meet their bound are final; so are full bins of the others.
+            settled = (F.col("bins") == F.col("least")) | (F.col("fill") == capacity)
+        placed = placed.unionByName((packed if settled is None else packed.where(settled)).select(*back, "sequence_id", "offset"))
+        if settled is None:
             break
-        keep = packed.where(~settled)
-        bins = keep.select("sequence_id").distinct().count()
-        open_rows = keep.drop("sequence_id", "offset", "__part", "__bins", "__least", "__fill")
-    if open_rows is not None and done:
-        done.append(keep)
-    out = full
-    for part in done:
-        out = out.unionByName(part.select(*names, "sequence_id", "offset"))
-    return out
+        before = packed.where(~settled)
+        bins = before.select("sequence_id").distinct().count()
+        open_rows = before.select(*held.columns)
+        size, number = open_rows.count(), number + 1
+    return placed
 
 
 def _packed(dealt: DataFrame, capacity: int, number: int) -> DataFrame:
@@ -226,10 +226,18 @@ def _packed(dealt: DataFrame, capacity: int, number: int) -> DataFrame:
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        part = int(group["__part"].iloc[0])
-        return group.assign(sequence_id=(number << 56) + (part << 24) + bins, offset=offsets, __bins=len(fill), __least=bins_at_least(lengths, capacity), __fill=fill[bins])
+        first = (number << 50) + (int(group["part"].iloc[0]) << 20)  # a part has fewer than 2^20 bins
+        return group.assign(sequence_id=first + bins, offset=offsets, bins=len(fill), least=bins_at_least(lengths, capacity), fill=fill[bins])
+
+    return dealt.groupBy("part").applyInPandas(one, kinds + ", sequence_id long, offset long, bins long, least long, fill long")
+
 
-    return dealt.groupBy("__part").applyInPandas(one, kinds + ", sequence_id long, offset long, __bins long, __least long, __fill long")
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, least): how many sequences packed pieces have, and how many any packing of them needs at least. The driver gets one row for each length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator():
+        count[r["length"]] = r["n"]
+    return packed.select("sequence_id").distinct().count(), _bound(count)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
