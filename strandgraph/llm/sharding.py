@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-#: Blocks that each old shard is cut into; the driver holds one number for each.
-BLOCKS = 256
+#: Rows of a block if one old shard held all of them, and the fewest blocks of an old shard.
+BLOCK_ROWS, LEAST_BLOCKS = 200_000, 64
+#: Up to so many blocks (a few numbers each) are broadcast to the rows; more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -81,28 +83,30 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def reshard(rows: DataFrame, old: Column, size: Column, order: list[Column], shards: int, old_shards: int, capacities: list[int] | None = None, blocks: int = BLOCKS) -> DataFrame:
+def reshard(rows: DataFrame, old: Column, size: Column, order: list[Column], shards: int, old_shards: int, capacities: list[int] | None = None, blocks: int | None = None) -> DataFrame:
     """rows with old_shard, size, shard and slot; sizes per shard meet the capacities within one row.
 
     Without capacities, shards get equal bytes. old must be 0 to old_shards - 1. Within a shard, slots
     are gapless from 0; rows whose order columns tie may swap slots. An empty table gives an empty result.
+    Columns of rows that have one of the four new names are replaced; any other name may occur. The driver
+    gets one number for each old shard.
     """
-    names = rows.columns
+    names = [n for n in rows.columns if n not in ("old_shard", "size", "shard", "slot")]
     held = checkpoint(
-        rows.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], old.cast("int").alias("old_shard"), size.alias("size"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+        rows.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], old.cast("int").alias("old_shard"), size.cast("long").alias("size"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
         .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("block", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(blocks)).cast("int"))
     )
+    blocks = blocks or max(LEAST_BLOCKS, -(-held.count() // BLOCK_ROWS))
+    held = held.withColumn("block", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(blocks)).cast("int"))
     keys = [*[f"o{i}" for i in range(len(order))], "row"]
-    sums = held.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).orderBy("old_shard", "block").collect()  # at most old_shards * blocks rows
-    total = sum(r["bytes"] for r in sums)
+    small = F.broadcast if blocks * max(shards, old_shards) <= BROADCAST_BLOCKS else lambda df: df
+    sums = checkpoint(held.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")))
+    supply = [0] * old_shards
+    for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect():
+        supply[r["old_shard"]] = r["bytes"]
     if capacities is None:
+        total = sum(supply)
         capacities = [total * (j + 1) // shards - total * j // shards for j in range(shards)]
-    supply = [0] * old_shards
-    begins = {}
-    for r in sums:
-        begins[r["old_shard"], r["block"]] = supply[r["old_shard"]]
-        supply[r["old_shard"]] += r["bytes"]
     flow = min_cost_flow(supply, capacities, [[int(i != j) for j in range(shards)] for i in range(old_shards)])
     # Byte ranges of each old shard, its own share first: a row goes where its first byte lies.
     ranges = []
@@ -112,35 +116,42 @@ def reshard(rows: DataFrame, old: Column, size: Column, order: list[Column], sha
             if to[j]:
                 ranges.append((i, at, at + to[j], j))
                 at += to[j]
-    spark = rows.sparkSession
-    starts = spark.createDataFrame([(a, b, x) for (a, b), x in begins.items()], "old_shard int, block int, begin long")
-    plan = spark.createDataFrame(ranges, "old_shard int, low long, high long, shard int").groupBy("old_shard").agg(F.collect_list(F.struct("low", "high", "shard")).alias("plan"))
-    inside = Window.partitionBy("old_shard", "block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    # Both tables have a known bound: old_shards * blocks rows, and old_shards rows of at most `shards` ranges.
+    plan = rows.sparkSession.createDataFrame(ranges, "old_shard int, low long, high long, shard int").groupBy("old_shard").agg(F.collect_list(F.struct("low", "high", "shard")).alias("plan"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("old_shard", "block", F.coalesce(F.sum("bytes").over(earlier("old_shard").orderBy("block")), F.lit(0)).alias("begin"))
+    # The plan has one row for each old shard, of at most `shards` ranges.
     placed = (
-        held.join(F.broadcast(starts), ["old_shard", "block"])
-        .withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        held.join(small(starts), ["old_shard", "block"])
+        .withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(earlier("old_shard", "block").orderBy(*keys)), F.lit(0)))
         .join(F.broadcast(plan), "old_shard")
         .withColumn("shard", F.filter("plan", lambda p: (p["low"] <= F.col("at")) & (F.col("at") < p["high"]))[0]["shard"])
         .drop("plan", "begin", "at")
     )
     placed = checkpoint(placed)
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = placed.join(F.broadcast(offsets), ["shard", "old_shard", "block"]).withColumn(
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier("shard").orderBy("old_shard", "block")), F.lit(0))).drop("n")
+    numbered = placed.join(small(offsets), ["shard", "old_shard", "block"]).withColumn(
         "slot", F.col("offset") + F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy(*keys)) - 1
     )
     return numbered.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "old_shard", "size", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def rewrite_affected(placed: DataFrame, path: str) -> None:
-    """Writes the shards that gained or lost rows, each to a folder shard=N of its own; other shards' files stay."""
+    """Writes the shards that gained or lost rows, each to a folder shard=N of its own; other shards' files stay.
+
+    A shard that lost all its rows loses its folder, after the others are written. Written again after
+    a failure between the two, the result is the same. Old shards and shards are one per folder, so few.
+    """
+    placed = checkpoint(placed)
     moved = placed.where("shard <> old_shard")
-    changed = moved.select("shard").union(moved.select("old_shard")).distinct()
-    spark = placed.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    placed.join(changed, "shard", "left_semi").write.mode("overwrite").partitionBy("shard").parquet(path)
+    changed = {r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()}
+    rows = placed.where(F.col("shard").isin(sorted(changed)))
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(path)
+    left = changed - {r[0] for r in rows.select("shard").distinct().collect()}
+    jvm, context = placed.sparkSession._jvm, placed.sparkSession.sparkContext
+    for shard in sorted(left):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
