@@ -1,10 +1,10 @@
 """Chat formatting with cumulative-snapshot collapse.
 
-A chat log often holds a conversation again and again as it grows. Each turn gets a
-hash chained from the turns before it, so that a conversation is a prefix of another
-if its last hash is among the other's. An anti-join removes conversations that are a
-proper prefix of a longer one; of equal ones the smallest id stays. Those that remain
-are rendered.
+A chat log often holds a conversation again and again as it grows. A rolling hash of
+128 bits runs over the turns of each conversation: the sum of the hashes of (position,
+turn) up to each turn. A conversation is a prefix of another if its last hash is among
+the other's. An anti-join removes conversations that are a proper prefix of a longer one;
+of equal ones the smallest id stays. Those that remain are rendered.
 """
 
 from __future__ import annotations
@@ -18,47 +18,31 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv, position (from 1), role, text, hash of the turns up to this one (hex of SHA-256), last.
+    """conv, position (from 1), n_turns, role, text, hash of the turns up to this one (two sums of 64-bit hashes).
 
     Turns are ordered by turn number, role and text; nulls come first. A null role or text is part of
     the hash and differs from an empty one. Rows with a null conversation belong to none and are
-    left out. A repeated row is a turn of its own.
+    left out. A repeated row is a turn of its own. Texts may be of any length: a turn's hash reads them
+    once, and each turn adds to a running sum, so long conversations take linear time.
     """
-    own = F.sha2(
-        F.concat_ws("|", F.coalesce(F.octet_length("role").cast("string"), F.lit("-")), F.coalesce("role", F.lit("")), F.coalesce(F.octet_length("text").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))),
-        256,
-    )
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    own = F.sha2(F.to_json(F.struct(F.octet_length("role").alias("r"), F.octet_length("text").alias("t"))), 256)
+    own = F.sha2(F.concat(own, F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    numbered = rows.withColumn("own", own).withColumn("position", F.row_number().over(order))
-    # The chain runs over the turns' short hashes only; the texts stay in their rows.
-    chained = numbered.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("position", "own"))).alias("all")).select(
-        "conv",
-        F.size("all").alias("n_turns"),
-        F.posexplode(
-            F.slice(
-                F.aggregate(
-                    "all",
-                    F.array(F.lit("")),
-                    lambda seen, t: F.concat(seen, F.array(F.sha2(F.concat(F.element_at(seen, -1), t["own"]), 256))),
-                ),
-                2,
-                F.greatest(F.size("all"), F.lit(1)),
-            )
-        ).alias("place", "hash"),
-    )
-    return numbered.drop("own", "turn").join(chained.withColumn("position", F.col("place") + 1).drop("place"), ["conv", "position"])
+    rows = rows.withColumn("own", own).withColumn("position", F.row_number().over(order))
+    # Sums of 64-bit numbers in 38 digits don't overflow below 2^62 turns.
+    part = lambda seed: F.xxhash64(F.lit(seed), "own", "position").cast("decimal(38,0)")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("a", F.sum(part(1)).over(running)).withColumn("b", F.sum(part(2)).over(running))
+    return summed.select("conv", "position", F.count("*").over(Window.partitionBy("conv")).cast("int").alias("n_turns"), "role", "text", F.concat_ws(",", "a", "b").alias("hash"))
 
 
 def maximal_conversations(hashes: DataFrame) -> DataFrame:
     """conv, n_turns, n_collapsed of the conversations that prefix no longer one; n_collapsed counts those equal to it."""
-    full = hashes.where("position = n_turns").select("conv", "n_turns", "hash")
+    # Equal conversations and equal prefixes are gathered before the two sides meet, so that each hash is there once.
+    full = hashes.where("position = n_turns").groupBy("hash").agg(F.min("conv").alias("conv"), F.first("n_turns").alias("n_turns"), (F.count("*") - 1).alias("n_collapsed"))
     longer = hashes.where("position < n_turns").select("hash").distinct()
-    return (
-        full.join(longer, "hash", "left_anti")
-        .groupBy("hash").agg(F.min("conv").alias("conv"), F.first("n_turns").alias("n_turns"), (F.count("*") - 1).alias("n_collapsed"))
-        .drop("hash")
-    )
+    return full.join(longer, "hash", "left_anti").drop("hash")
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
