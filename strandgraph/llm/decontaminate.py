@@ -4,7 +4,8 @@ An item of m characters that occurs with at most k edits shares at least
 m - q + 1 - k*q of its q-grams with the place where it occurs, all of them on
 diagonals that lie within k of one another. So: count shared q-grams in overlapping
 bands of diagonals, keep the bands that reach the item's bound, and verify each by
-banded alignment.
+banded alignment. q is 8, or less for items so short that their bound would fall under 1;
+items of under 8 characters have no edits to spend and are looked for as they are.
 
 Both sides are compared as lower-case letters and digits, with one space for each
 run of anything else. The benchmark is a query set; it is taken in blocks of at most
@@ -22,42 +23,58 @@ from pyspark.sql import functions as F
 
 from .common import Lookup, folded, keep_texts, map_texts, rolling, table, windows
 
-Q, ERROR_RATE, MIN_CHARS = 8, 0.1, 25
+Q, ERROR_RATE, MIN_CHARS = 8, 0.1, 1
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams looked at together; a window that has more is halved.
+HITS = 1 << 22
+
+
+def trimmed(text: str | None) -> np.ndarray:
+    """Folded codes of an item without a space at either end."""
+    codes = folded((text or "").replace("\x00", " "))[0]
+    return codes[int(len(codes) and codes[0] == 32) : len(codes) - int(len(codes) > 1 and codes[-1] == 32)]
+
+
+def item_blocks(items: list[tuple[object, str]], q: int, error_rate: float, min_chars: int) -> list[ItemBlock]:
+    """The items in blocks of one q each: the largest up to q at which the lemma's bound is 1 or more."""
+    by_q: dict[int, list[tuple[object, np.ndarray, int]]] = {}
+    for item_id, text in items:
+        codes = trimmed(text)
+        edits = int(len(codes) * error_rate)
+        if len(codes) >= max(1, min_chars):
+            by_q.setdefault(min(q, (len(codes) + 1) // (edits + 1), len(codes)), []).append((item_id, codes, edits))
+    return [ItemBlock(own, size) for size, own in sorted(by_q.items())]
 
 
 class ItemBlock:
-    """q-grams of a block of items, with where they occur, and each item's bounds."""
-
-    def __init__(self, items: list[tuple[object, str]], q: int, error_rate: float, min_chars: int):
-        self.q, self.ids, self.codes = q, [], []
-        for item_id, text in items:
-            codes = folded((text or "").replace("\x00", " "))[0]
-            codes = codes[int(len(codes) and codes[0] == 32) : len(codes) - int(len(codes) > 1 and codes[-1] == 32)]
-            if len(codes) >= max(min_chars, q):
-                self.ids.append(item_id)
-                self.codes.append(codes)
+    """q-grams of items, with where they occur, and each item's bounds."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray, int]], q: int):
+        self.q, self.ids, self.codes = q, [x[0] for x in items], [x[1] for x in items]
         m = np.array([len(c) for c in self.codes], np.int64)
-        # The bound must stay at 1 or more for the lemma to filter.
-        self.edits = np.minimum((m * error_rate).astype(np.int64), (m - q) // q) if len(m) else m
+        self.edits = np.array([x[2] for x in items], np.int64)
         self.least = m - q + 1 - self.edits * q
         self.stride = np.maximum(self.edits, 8)
-        self.longest = int((m + 4 * self.stride).max()) if len(m) else 0
+        self.longest = int((m + 4 * self.stride).max())
         grams = [rolling(c, q) for c in self.codes]
-        every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        every = np.concatenate(grams)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else item
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(every, kind="stable")
         keys, first, count = np.unique(every[order], return_index=True, return_counts=True)
         self.lookup, self.first, self.count = Lookup(keys), first, count
         self.item, self.place = item[order], place[order]
 
-    def bands(self, codes: np.ndarray) -> np.ndarray:
-        """Rows (item, band) whose count of shared q-grams reaches the item's bound."""
+    def bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(item, first diagonal) of the bands whose count of shared q-grams reaches the item's bound."""
         at, key = self.lookup.find(rolling(codes, self.q))
         if not len(at):
-            return np.empty((0, 2), np.int64)
+            return []
         n = self.count[key]
+        if n.sum() > HITS and len(codes) > 8 * self.longest:
+            half, lap = len(codes) // 2, 2 * self.longest
+            right = [(item, d + half - lap) for item, d in self.bands(codes[half - lap :])]
+            return list(dict.fromkeys([*self.bands(codes[: half + lap]), *right]))
         hit = np.repeat(self.first[key] - np.cumsum(n) + n, n) + np.arange(n.sum())
         item = self.item[hit]
         band = (np.repeat(at, n) - self.place[hit]) // self.stride[item]
@@ -75,23 +92,30 @@ class ItemBlock:
         new[1:] = (cells[1:] != cells[:-1]) | (place[1:] != place[:-1])
         cells, n = np.unique(cells[new], return_counts=True)
         item = cells >> 32
-        return np.stack([item, (cells & 0xFFFFFFFF) - (1 << 31)], axis=1)[n >= self.least[item]]
+        keep = n >= self.least[item]
+        item, band = item[keep], (cells[keep] & 0xFFFFFFFF) - (1 << 31)
+        return list(zip(item.tolist(), (band * self.stride[item]).tolist(), strict=True))
 
-    def align(self, codes: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best place of the item in the band that begins at a diagonal; None beyond its edit budget."""
+    def align(self, codes: np.ndarray, item: int, diagonal: int) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of the best place of the item in the band that begins at a diagonal, or of all places that equal it; none beyond its edit budget."""
         want, k, stride = self.codes[item], int(self.edits[item]), int(self.stride[item])
-        begin = max(0, diagonal - k)
-        exact = codes[begin : max(0, diagonal + 2 * stride + k + len(want))].tobytes().find(want.tobytes())
-        if exact >= 0 and exact % codes.itemsize == 0:
-            return 0, begin + exact // codes.itemsize, begin + exact // codes.itemsize + len(want)
-        found = banded(want, codes, diagonal - k, 2 * stride + 2 * k + 1, 0, k)
+        begin, out = max(0, diagonal - k), []
+        there, sought, size = codes[begin : max(0, diagonal + 2 * stride + k + len(want))].tobytes(), want.tobytes(), codes.itemsize
+        at = there.find(sought)
+        while at >= 0:
+            if at % size == 0:
+                out.append((0, begin + at // size, begin + at // size + len(want)))
+            at = there.find(sought, at + (1 if at % size else len(sought)))
+        if out:
+            return out
+        found = banded(want, codes, diagonal - k, 2 * stride + 2 * k + 1, 0, k) if k else None
         if found is None:
-            return None
+            return []
         edits, end = found
         begin = max(0, end - len(want) - k)
         back = banded(want[::-1], codes[begin:end][::-1], -k, 2 * k + 1, None, k)
         start = end - back[1] if back else begin
-        return edits, start, end
+        return [(edits, start, end)] if end > start else []
 
 
 def banded(want: np.ndarray, codes: np.ndarray, low: int, width: int, start: int | None, budget: int) -> tuple[int, int] | None:
@@ -123,36 +147,32 @@ def banded(want: np.ndarray, codes: np.ndarray, low: int, width: int, start: int
     return (int(row[at]), int(low + len(want) + at)) if row[at] <= budget else None
 
 
-def matches_in(texts: list[str], block: ItemBlock) -> list[tuple[int, object, int, int, int]]:
+def matches_in(texts: list[str], blocks: list[ItemBlock]) -> list[tuple[int, object, int, int, int]]:
     """(which text, item id, start, end, edits) of every place; places of an item that overlap give the best one."""
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for parts, window in windows([t.replace("\x00", " ") if "\x00" in t else t for t in texts], 4 * block.longest):
+    found: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+    lap = 4 * max((b.longest for b in blocks), default=0)
+    for parts, window in windows([t.replace("\x00", " ") if "\x00" in t else t for t in texts], lap) if blocks else ():
         codes, places = folded(window)
-        cells = block.bands(codes)
-        if not len(cells):
-            continue
         ends = np.append(np.flatnonzero(codes == 0), len(codes))
         starts = np.append(0, ends[:-1] + 1)
-        for item, band in cells.tolist():
-            stride, edits = int(block.stride[item]), int(block.edits[item])
-            low = max(0, band * stride - edits)
-            high = (band + 2) * stride + edits + len(block.codes[item])
-            for part in range(np.searchsorted(ends, low), min(len(parts), np.searchsorted(starts, high, "right"))):
-                a, b = int(starts[part]), int(ends[part])
-                hit = block.align(codes[a:b], item, band * stride - a)
-                if hit is None or hit[2] <= hit[1]:
-                    continue
-                n, s, e = hit[0], hit[1] + a, hit[2] + a
-                which, offset, base = parts[part]
-                first, last = int(places[s]) - base + offset, int(places[e - 1]) + 1 - base + offset
-                found.setdefault((which, item), []).append((n, first, last))
+        for number, block in enumerate(blocks):
+            for item, diagonal in block.bands(codes):
+                stride, edits = int(block.stride[item]), int(block.edits[item])
+                low = max(0, diagonal - edits)
+                high = diagonal + 2 * stride + edits + len(block.codes[item])
+                for part in range(np.searchsorted(ends, low), min(len(parts), np.searchsorted(starts, high, "right"))):
+                    a, b = int(starts[part]), int(ends[part])
+                    for n, s, e in block.align(codes[a:b], item, diagonal - a):
+                        which, offset, base = parts[part]
+                        first, last = int(places[s + a]) - base + offset, int(places[e + a - 1]) + 1 - base + offset
+                        found.setdefault((which, number, item), []).append((n, first, last))
     out = []
-    for (which, item), hits in found.items():
+    for (which, number, item), hits in found.items():
         taken: list[tuple[int, int]] = []
         for edits, s, e in sorted(set(hits)):
             if all(e <= x or s >= y for x, y in taken):
                 taken.append((s, e))
-                out.append((which, block.ids[item], s, e, edits))
+                out.append((which, blocks[number].ids[item], s, e, edits))
     return out
 
 
@@ -174,19 +194,20 @@ def benchmark_matches(
     """Every place where an item occurs with at most error_rate edits a character: id, item_id, start, end
     (code points of the text, end exclusive), edits.
 
-    Null and empty texts and items match nothing; so do items of under min_chars letters,
-    digits and gaps, which prove nothing. A repeated document row gives its matches again, a
-    null id gives matches under null. Of equally good overlapping places the first stays.
+    Null and empty texts and items match nothing; so do items without a letter or digit, and those of
+    under min_chars letters, digits and gaps, where that is set higher: short items prove little.
+    A repeated document row gives its matches again, a repeated item matches under each of its
+    ids, a null id under null. Of equally good overlapping places the first stays. Texts of any length are read whole.
     """
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     made = f"item_id {item_kind}, start int, end int, edits int"
     out = None
     for items in _blocks(benchmark, item_col, item_text, block_chars):
-        block = ItemBlock(items, q, error_rate, min_chars)
+        blocks = item_blocks(items, q, error_rate, min_chars)
 
-        def start(block: ItemBlock = block):
+        def start(blocks: list[ItemBlock] = blocks):
             def work(texts):
-                hits = matches_in([t or "" for t in texts], block) if block.ids else []
+                hits = matches_in([t or "" for t in texts], blocks)
                 which, *columns = zip(*hits, strict=True) if hits else [()] * 5
                 return which, columns
 
@@ -203,11 +224,11 @@ def decontaminated(
 ) -> DataFrame:
     """docs without the rows whose text holds an item. Each row is judged by its own text, so null and repeated ids make no difference."""
     for items in _blocks(benchmark, item_col, item_text, block_chars):
-        block = ItemBlock(items, q, error_rate, min_chars)
+        blocks = item_blocks(items, q, error_rate, min_chars)
 
-        def start(block: ItemBlock = block):
+        def start(blocks: list[ItemBlock] = blocks):
             def clean(texts):
-                hit = {h[0] for h in matches_in([t or "" for t in texts], block)} if block.ids else set()
+                hit = {h[0] for h in matches_in([t or "" for t in texts], blocks)}
                 return [i not in hit for i in range(len(texts))]
 
             return clean
