@@ -3,8 +3,9 @@
 The tree is fitted on a bounded sample (`SAMPLE_ROWS`); every row is then put into a
 leaf. A query walks the tree best bin first: a priority queue holds the nodes seen, by
 the distance of their centre, and gives the leaves in the order of visits. How many
-leaves a query visits is calibrated: it is widened until held-out rows of the sample
-reach the wanted recall. Each visited leaf is searched exactly, in chunks of bounded
+leaves a query visits is calibrated: it is widened until rows held out from the fit
+reach the wanted recall among the sample's rows. A query goes on beyond that until its
+leaves hold more than k rows. Each visited leaf is searched exactly, in chunks of bounded
 size, so a vector that a third of all rows share makes many tasks, not a large one.
 """
 
@@ -67,14 +68,15 @@ class Tree:
             moving = np.concatenate(still) if still else moving[:0]
         return at
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves of a best-bin-first walk."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first `most` leaves of a best-bin-first walk, and further ones until they hold at least `rows` rows, by the counts in `held`."""
+        heap, out, have = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or have < rows):
             _, node = heapq.heappop(heap)
             kids = self.children[node]
             if not kids:
                 out.append(node)
+                have += held.get(node, 0) if held else 0
                 continue
             for d, kid in zip(squared(q[None], self.centres[kids])[0].tolist(), kids, strict=True):
                 heapq.heappush(heap, (d, kid))
@@ -114,20 +116,15 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     return out
 
 
-def calibrated_visits(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL, probes: int = PROBES) -> int:
-    """The fewest leaf visits at which rows of the sample find the share `recall` of their k nearest others in it."""
-    step = max(1, len(sample) // probes)
-    chosen = np.arange(0, len(sample), step)[:probes]
+def calibrated_visits(tree: Tree, sample: np.ndarray, probes: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """The fewest leaf visits at which probes, which the tree wasn't fitted on, find the share `recall` of their k nearest rows of the sample."""
     leaf = tree.leaf_of(sample)
     need = []
-    for i in chosen:
-        d = squared(sample[i][None], sample)[0]
-        d[i] = np.inf
-        k_here = min(k, len(sample) - 1)
-        if k_here < 1:
-            continue
+    for q in probes:
+        d = squared(q[None], sample)[0]
+        k_here = min(k, len(sample))
         truth = np.argpartition(d, k_here - 1)[:k_here]
-        place = {node: r for r, node in enumerate(tree.visits(sample[i], len(tree.leaves)))}
+        place = {node: r for r, node in enumerate(tree.visits(q, len(tree.leaves)))}
         need += [place[n] + 1 for n in leaf[truth].tolist()]
     return int(np.quantile(need, recall, method="higher")) if need else 1
 
@@ -153,32 +150,37 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     kind = dict(rows.dtypes)["id"]
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     sample = np.array(drawn["v"].tolist(), np.float64) if len(drawn) else np.zeros((0, 1))
-    tree = Tree(sample)
-    most = calibrated_visits(tree, sample, k, recall) if len(sample) else 1
+    apart = np.arange(len(sample)) % max(2, len(sample) // PROBES) == 1  # held out from the fit
+    tree = Tree(sample[~apart])
+    most = calibrated_visits(tree, sample[~apart], sample[apart][:PROBES], k, recall)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield b.assign(leaf=tree.leaf_of(np.array(b["v"].tolist(), np.float64)))
 
+    schema = f"id {kind}, v array<double>, leaf long"
+    put_rows = checkpoint(rows.mapInPandas(put, schema))
+    # One row for each leaf, of which there are fewer than the sample has rows.
+    held = {r["leaf"]: r["n"] for r in put_rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                paths = [tree.visits(np.asarray(v, np.float64), most) for v in part["v"]]
+                paths = [tree.visits(np.asarray(v, np.float64), most, held, k + 1) for v in part["v"]]
                 yield part.assign(leaf=paths).explode("leaf").astype({"leaf": "int64"})
 
-    schema = f"id {kind}, v array<double>, leaf long"
-    put_rows = checkpoint(rows.mapInPandas(put, schema))
-    # One row for each leaf, of which there are fewer than the sample has rows.
-    chunks = put_rows.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("r"))
+    chunks = rows.sparkSession.createDataFrame([(leaf, -(-n // CHUNK_ROWS)) for leaf, n in held.items()], "leaf long, r int")
     # Chunks of leaves are dealt to groups, so that a query gives k rows for a group and not for each leaf.
-    groups = -(-put_rows.count() // GROUP_ROWS) or 1
+    groups = -(-sum(held.values()) // GROUP_ROWS) or 1
     blocks = -(-asked.count() // GROUP_QUERIES) or 1
     group = F.pmod(F.xxhash64("leaf", "r"), F.lit(groups)).cast("int").alias("g")
-    walked = asked.mapInPandas(walk, schema).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    members = put_rows.join(F.broadcast(chunks), "leaf").withColumn("r", F.pmod(F.xxhash64("id"), F.col("r")).cast("int"))
-    members = members.select("leaf", "r", "id", "v", group, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    walked = checkpoint(asked.mapInPandas(walk, schema).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
+    # Only leaves that a block of queries visits are dealt to it.
+    sought = walked.groupBy("leaf").agg(F.collect_set("block").alias("blocks"))
+    members = put_rows.join(F.broadcast(chunks), "leaf").join(sought, "leaf").withColumn("r", F.pmod(F.xxhash64("id"), F.col("r")).cast("int"))
+    members = members.select("leaf", "r", "id", "v", group, F.explode("blocks").alias("block"))
     visits = walked.join(F.broadcast(chunks), "leaf").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select("leaf", "r", "id", "v", group, "block")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
