@@ -10,7 +10,7 @@ only are left as they are. The restored text is then scored by a logistic model
 character n-grams that tell the labels apart.
 
 The classifier is fitted on a bounded sample of labelled rows (`TRAIN_ROWS`, smallest
-hash of the id first); the language model and the scores cover all documents.
+hash of the id first; texts that are copies but for a few words count once); the language model and the scores cover all documents.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .common import Lookup, checkpoint, folded, keep_texts, map_texts, rolling,
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
-GRAMS, FEATURES, CANDIDATES = (4, 5, 6), 512, 100_000
+#: Lengths of n-grams, how many the classifier uses, and for how many at a time the two classes are counted.
+GRAMS, FEATURES, SLICE = (4, 5, 6), 512, 100_000
 #: Words kept in a task's counter before it is passed on.
 COUNTER_WORDS = 200_000
 
@@ -293,15 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         def work(texts):
             read = [restored(t or "", chars, cache) for t in texts]
-            # Rows that share the least run of 24 characters are mostly copies of one another: one of them counts.
+            # Texts that share both the least and the greatest of their runs of 24 characters are copies, but for a few words: one of
+            # them counts. Shorter texts stand for themselves.
             runs = (rolling(folded(t)[0], 24) for t in read)
-            return None, ([int(r.min() >> np.uint64(1)) if len(r) else 0 for r in runs], read)
+            return None, ([f"{r.min()}:{r.max()}" if len(r) else t for r, t in zip(runs, read, strict=True)], read)
 
         return work
 
     spread = max(2, min(docs.sparkSession.sparkContext.defaultParallelism * 2, 64))
     train = _train_rows(docs, labels, id_col, text_col, label_col, rows).repartition(spread)
-    train = map_texts(train, "text", {"y": "y"}, start, "family long, read string")
+    train = map_texts(train, "text", {"y": "y"}, start, "family string, read string")
     train = checkpoint(train.groupBy("family", "y").agg(F.min("read").alias("read")).select("y", "read"))
     total = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
@@ -310,28 +312,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(chars, np.empty(0, np.uint64), np.empty(0), -30.0 if share == 0 else 30.0)
 
     least = max(2, toxic // 200)
-    common = (
-        train.where("y = 1").mapInPandas(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(CANDIDATES).toPandas()
-    )
-    keys = np.sort(common["gram"].to_numpy(np.int64).view(np.uint64))
-    lookup = Lookup(keys)
-
-    def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for text in batch["read"]:
-                n[lookup.find(grams_of(text))[1]] += 1
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"gram": keys[at].view(np.int64), "n": n[at]})
-
-    in_clean = dict(train.where("y = 0").mapInPandas(clean_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
-    a = common.set_index("gram")["n"].reindex(keys.view(np.int64)).to_numpy(float)
-    b = np.array([in_clean.get(k, 0) for k in keys.view(np.int64).tolist()], float)
-    p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
-    gain = np.where(p > q, a * np.log(p / q) + (toxic - a) * np.log((1 - p + 1e-9) / (1 - q + 1e-9)), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(FEATURES, int((gain > 3).sum()))])
-    keys = keys[chosen]
+    common = checkpoint(train.where("y = 1").mapInPandas(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    # All n-grams are weighed, a slice of them at a time; of each slice the best stay.
+    slices = -(-common.count() // SLICE)
+    best = pd.DataFrame({"gram": np.empty(0, np.int64), "gain": np.empty(0)})
+    for number in range(slices):
+        own = common.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == number).toPandas()
+        own["gain"] = _gains(train, own, toxic, clean)
+        best = pd.concat([best, own.loc[own["gain"] > 3, ["gram", "gain"]]]).sort_values(["gain", "gram"], ascending=[False, True]).head(FEATURES)
+    keys = np.sort(best["gram"].to_numpy(np.int64).view(np.uint64))
     lookup = Lookup(keys)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,6 +336,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(chars, keys, weights[:-1], float(weights[-1]))
 
 
+def _gains(train: DataFrame, common: pd.DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """How much likelier the toxic rows get if an n-gram (gram, n: toxic rows that hold it) may tell the classes apart."""
+    grams = common["gram"].to_numpy(np.int64)
+    keys = np.sort(grams.view(np.uint64))
+    lookup = Lookup(keys)
+
+    def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for text in batch["read"]:
+                n[lookup.find(grams_of(text))[1]] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"gram": keys[at].view(np.int64), "n": n[at]})
+
+    counted = train.where("y = 0").mapInPandas(clean_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    b = counted.set_index("gram")["n"].reindex(grams, fill_value=0).to_numpy(float)
+    a = common["n"].to_numpy(float)
+    p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
+    return np.where(p > q, a * np.log(p / q) + (toxic - a) * np.log((1 - p + 1e-9) / (1 - q + 1e-9)), 0)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 500):
