@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 checkpoint = cut
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_texts(docs: DataFrame, text_col: str, passed: dict[str, str], start: Callable[[], Callable], made: str) -> DataFrame:
     """Rows made from texts, with columns of docs passed on (new name: name) unchanged, nulls and all.
 

@@ -2,13 +2,15 @@
 
 Candidates are the base spans (email, ip, card, phone) and looser ones: other numbers
 of 9 to 19 digits, spelled-out addresses ("name (at) host") and titled names. Labelers
-of three sorts vote yes, no or nothing on each: shapes (regular expressions), gazetteers
-(domain endings, issuer digits, country codes, titles) and context (words before the
-span). The votes of the whole corpus are counted by pattern; expectation-maximisation over
-these counts estimates each labeler's reliability, and a logistic span classifier is trained
-on the resulting posteriors. Looser candidates that it accepts become spans; base spans stay.
-
-The driver holds one row for each pattern of votes: a number fixed by the labelers,
+of three sorts vote yes, no or nothing on each: shapes (regular expressions and lengths),
+gazetteers (`Gazetteers`, a parameter: domain endings, country codes, issuers, given names)
+and context (words before the span, characters beside it). The votes of the whole corpus are
+counted by pattern; expectation-maximisation over these counts estimates each labeler's
+reliability. A logistic span classifier is then trained on the resulting posteriors, over the
+votes and over marks of the span and its surroundings that no labeler reads. Looser
+candidates that it accepts become spans; base spans stay.
+
+The driver holds one row for each pattern of votes and marks: a number fixed by the labelers,
 not the corpus.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,33 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 ADDRESS = re.compile(r"\b[\w.+-]{1,40} ?[(\[](?:at|AT)[)\]] ?[\w-]{1,40}(?: ?[(\[](?:dot|DOT)[)\]] ?[\w-]{1,20})+")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [^\W\d_]\w{1,20}(?: [A-ZÀ-Þ]\w{1,20})?")
 
-# Gazetteers and context words (fixed values).
-ENDINGS = frozenset("com org net edu gov info io de fr es uk eu".split())
-COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "55", "61", "81", "82", "86", "90", "91")
+class Gazetteers(NamedTuple):
+    """Lists that labelers look spans up in; others may be given in their place."""
+
+    endings: frozenset[str]
+    calling_codes: tuple[str, ...]
+    issuers: tuple[str, ...]
+    given_names: frozenset[str]
+
+
+# Common domain endings, country calling codes, first digits of card issuers, given names; and context words.
+GAZETTEERS = Gazetteers(
+    frozenset(
+        "com org net edu gov mil int info biz name pro io ai app dev me tv co eu de fr es uk us ca au nz ie at ch be nl lu it pt pl cz sk hu ro bg gr se no dk fi is ee lv lt "
+        "ru ua by tr il in cn jp kr tw hk sg my th vn id ph br ar cl mx pe ve za eg ma ng ke example test".split()
+    ),
+    tuple(
+        "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 221 225 233 234 "
+        "237 243 244 251 254 255 256 260 263 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 "
+        "852 853 855 880 886 960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998".split()
+    ),
+    ("34", "36", "37", "4", "51", "52", "53", "54", "55", "6011", "62", "65"),
+    frozenset(
+        "james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen anna emma olivia noah lucas "
+        "hans peter klaus wolfgang jürgen stefan andreas ursula monika petra sabine heike jean pierre michel andré philippe alain marie nathalie isabelle sylvie françoise "
+        "josé antonio manuel francisco juan carlos luis carmen maría pilar dolores isabel lucía pablo javier".split()
+    ),
+)
 ABOUT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -51,7 +78,8 @@ ABOUT = {
 OTHERWISE = ("version", "isbn", "order", "build", "commit", "hash", "rev", "page", "copyright")
 #: Characters before a span that context labelers read.
 CONTEXT = 40
-LABELERS = 5
+LABELERS, MARKS = 5, 6
+CODES = len(KINDS) * 3**LABELERS
 
 
 def luhn(digits: str) -> bool:
@@ -106,23 +134,31 @@ def found_in(text: str) -> list[tuple[int, int, str]]:
     return base + sorted(x for x in loose if not ((taken[:, 0] < x[1]) & (x[0] < taken[:, 1])).any())
 
 
-def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
+def votes(text: str, start: int, end: int, kind: str, lists: Gazetteers = GAZETTEERS) -> tuple[int, ...]:
     """The labelers' votes: 2 yes, 0 no, 1 nothing."""
     span = text[start:end]
     digits = "".join(c for c in span if c.isdigit())
-    shape = 2 if kind in BASE or kind == "address" else 1
-    if kind == "number":
-        shape = 2 if len(digits) in (10, 11, 13, 14, 15, 16) else 0
-    if kind == "email":
-        known = 2 if span.rpartition(".")[2].lower() in ENDINGS else 0
+    last = re.split(r"\W", span.rstrip(")] "))[-1].lower()
+    known = 1
+    if kind in ("email", "address"):
+        shape = 2 if last.isalpha() and 2 <= len(last) <= 10 and len(span.partition("@")[0]) <= 64 else 0
+        known = 2 if last in lists.endings else 0
     elif kind == "ip":
+        shape = 0 if re.search(r"(?<![0-9])0[0-9]", span) else 2
         known = 0 if span.startswith(("0.", "127.", "255.")) else 2
-    elif kind in ("card", "number"):
-        known = 2 if digits[:1] in ("3", "4", "5", "6") and len(digits) >= 13 else 1
+    elif kind == "card":
+        shape = 2 if len(digits) in (15, 16) else 1
+        known = 2 if digits.startswith(lists.issuers) else 0
     elif kind == "phone":
-        known = 2 if digits.startswith(COUNTRY_CODES) else 0
+        shape = 2 if 10 <= len(digits) <= 13 else 1
+        known = 2 if digits.startswith(lists.calling_codes) else 0
+    elif kind == "number":
+        shape = 2 if len(digits) in (10, 11, 13, 14, 15, 16) else 0
+        known = 2 if len(digits) >= 13 and digits.startswith(lists.issuers) else 1 if len(digits) >= 13 else 2 if digits.startswith(lists.calling_codes) and len(digits) >= 10 else 1
     else:
-        known = 2
+        words = span.split()[1:]
+        shape = 2 if all(w[:1].isupper() for w in words) else 0
+        known = 2 if any(w.lower() in lists.given_names for w in words) else 1
     before = text[max(0, start - CONTEXT) : start].lower()
     told = 2 if any(w in before for w in ABOUT[kind]) else 1
     denied = 0 if any(w in before for w in OTHERWISE) else 1
@@ -130,6 +166,14 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     return shape, known, told, denied, 0 if glued else 2
 
 
+def marks_of(text: str, start: int, end: int) -> int:
+    """What the classifier reads of a span besides the votes, as bits: long, set in groups, all digits, after a sign, at a line's begin, before the end of a phrase."""
+    span, after = text[start:end], text[end : end + 1]
+    line = text[max(0, start - 3) : start].strip(" \t")
+    bits = (end - start > 14, any(c in " -." for c in span), span.isdigit(), text[max(0, start - 2) : start].rstrip()[-1:] in tuple(":=#"), start == 0 or line[-1:] == "\n", not after or after in ".,;:!?\n)")
+    return sum(int(b) << i for i, b in enumerate(bits))
+
+
 def code_of(kind: str, cast: tuple[int, ...]) -> int:
     code = KINDS.index(kind)
     for v in cast:
@@ -137,21 +181,27 @@ def code_of(kind: str, cast: tuple[int, ...]) -> int:
     return code
 
 
+def pattern_of(text: str, start: int, end: int, kind: str, lists: Gazetteers = GAZETTEERS) -> int:
+    """Kind, votes and marks of a span as one number: the code of kind and votes, plus CODES for each step of the marks."""
+    return code_of(kind, votes(text, start, end, kind, lists)) + CODES * marks_of(text, start, end)
+
+
 def decoded(code: int) -> tuple[str, tuple[int, ...]]:
     cast = []
+    code %= CODES
     for _ in range(LABELERS):
         code, v = divmod(code, 3)
         cast.append(v)
     return KINDS[code], tuple(reversed(cast))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, found (array of start, end, kind, code of kind and votes)."""
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: Gazetteers = GAZETTEERS) -> DataFrame:
+    """One row per row of docs: id, found (array of start, end, kind, pattern)."""
 
     def start():
         def work(texts):
             return None, ([
-                [{"start": s, "end": e, "kind": k, "code": code_of(k, votes(t, s, e, k))} for s, e, k in found_in(t)] if t else []
+                [{"start": s, "end": e, "kind": k, "code": pattern_of(t, s, e, k, lists)} for s, e, k in found_in(t)] if t else []
                 for t in texts
             ],)
 
@@ -184,19 +234,20 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, f
     return dict(zip(codes, p.tolist(), strict=True)), rates
 
 
-def span_features(code: int) -> list[float]:
-    kind, cast = decoded(code)
-    return [1.0, *[float(kind == k) for k in LOOSE], *[float(v == x) for v in cast for x in (0, 2)]]
+def span_features(pattern: int) -> list[float]:
+    kind, cast = decoded(pattern)
+    marks = pattern // CODES
+    return [1.0, *[float(kind == k) for k in LOOSE], *[float(v == x) for v in cast for x in (0, 2)], *[float(marks >> i & 1) for i in range(MARKS)]]
 
 
 def train(posterior: dict[int, float], counts: dict[int, int], ridge: float = 1.0) -> dict[int, float]:
-    """The span classifier's probability for each pattern: ridge logistic regression on the posteriors, weighted by counts."""
-    codes = sorted(posterior)
-    if not codes:
+    """The span classifier's probability for each pattern in counts: ridge logistic regression on the posteriors of their codes, weighted by counts."""
+    patterns = sorted(counts)
+    if not patterns:
         return {}
-    x = np.array([span_features(c) for c in codes])
-    y = np.array([posterior[c] for c in codes])
-    n = np.array([counts[c] for c in codes], float)
+    x = np.array([span_features(c) for c in patterns])
+    y = np.array([posterior[c % CODES] for c in patterns])
+    n = np.array([counts[c] for c in patterns], float)
     n = n / n.max() * 1000 + 1
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -204,24 +255,27 @@ def train(posterior: dict[int, float], counts: dict[int, int], ridge: float = 1.
         grad = x.T @ (n * (p - y)) + ridge * w
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-    return dict(zip(codes, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
 def accepted(found: DataFrame, threshold: float = 0.5) -> list[int]:
-    """Codes of loose candidates that the classifier, trained on all votes in found, takes for personal data."""
-    patterns = found.select(F.explode("found").alias("f")).groupBy("f.code").agg(F.count("*").alias("n"))
-    counts = {r["code"]: r["n"] for r in patterns.toLocalIterator()}  # at most len(KINDS) * 3 ** LABELERS rows
-    posterior, _ = reliabilities(counts) if counts else ({}, None)
+    """Patterns of loose candidates that the classifier, trained on all votes in found, takes for personal data."""
+    rows = found.select(F.explode("found").alias("f")).groupBy("f.code").agg(F.count("*").alias("n"))
+    counts = {r["code"]: r["n"] for r in rows.toLocalIterator()}  # at most CODES * 2 ** MARKS rows
+    by_code: dict[int, int] = {}
+    for c, n in counts.items():
+        by_code[c % CODES] = by_code.get(c % CODES, 0) + n
+    posterior, _ = reliabilities(by_code) if by_code else ({}, None)
     return sorted(c for c, p in train(posterior, counts).items() if p >= threshold and decoded(c)[0] in LOOSE)
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: Gazetteers = GAZETTEERS) -> DataFrame:
     """One row per row of docs: id, base and extra (arrays of start, end, kind; base by start, then kind).
 
     Null and empty texts have no spans. Repeated rows are scanned one by one, an empty table gives an empty
     result, and other columns are not looked at. Positions are code points, end exclusive.
     """
-    found = checkpoint(scanned(docs, id_col, text_col))
+    found = checkpoint(scanned(docs, id_col, text_col, lists))
     codes = accepted(found)
     return found.select(
         id_col,
@@ -230,19 +284,21 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, lists: Gazetteers = GAZETTEERS) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind.
 
-    length_col, if given, is set to the new text's length in code points. Null texts stay null.
+    length_col, if given, is set to the new text's length in code points. Null texts stay null, empty ones empty;
+    ids may be null or repeat, texts may be of any length, and an empty table gives an empty result. Texts are read
+    twice, as the classifier needs the votes of all of them first and no text is written or sent in between.
     """
-    codes = frozenset(accepted(checkpoint(scanned(docs, id_col, text_col))))
+    codes = frozenset(accepted(checkpoint(scanned(docs, id_col, text_col, lists))))
 
     def start():
         def clean(text: str | None) -> str | None:
             if not text:
                 return text
             out, at = [], 0
-            spans = [(s, e, k) for s, e, k in found_in(text) if k in BASE or code_of(k, votes(text, s, e, k)) in codes]
+            spans = [(s, e, k) for s, e, k in found_in(text) if k in BASE or pattern_of(text, s, e, k, lists) in codes]
             merged: list[list] = []
             for s, e, k in sorted(spans):
                 if merged and s < merged[-1][1]:

@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, delete, table
 
 #: Rows of a block if one old shard held all of them, and the fewest blocks of an old shard.
 BLOCK_ROWS, LEAST_BLOCKS = 200_000, 64
@@ -148,10 +148,8 @@ def rewrite_affected(placed: DataFrame, path: str) -> None:
     rows = placed.where(F.col("shard").isin(sorted(changed)))
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("shard").parquet(path)
     left = changed - {r[0] for r in rows.select("shard").distinct().collect()}
-    jvm, context = placed.sparkSession._jvm, placed.sparkSession.sparkContext
     for shard in sorted(left):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(placed.sparkSession, f"{path}/shard={shard}")
 
 
 def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,43 @@ def test_unusable_vectors(spark):
     got = [tuple(r) for r in N.nearest_neighbours(frame, frame).orderBy("query_id", "rank").collect()]
     assert [(q, r, i) for q, r, i, _ in got] == [(0, 1, 8), (0, 2, 7), (7, 1, 0), (7, 2, 8), (8, 1, 0), (8, 2, 7)]
     assert N.nearest_neighbours(frame.limit(0), frame.limit(0)).count() == 0
+
+
+# --- resharding from files that exist, long conversations, lone outliers
+
+
+def test_no_row_is_left_in_two_shards(spark, tmp_path):
+    path = str(tmp_path / "held")
+    old = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, 2)], "doc_id int, shard int")
+    old.write.partitionBy("shard").parquet(path)
+    kept = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "held" / "shard=2").glob("*.parquet")}
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
+    placed = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 2, 2), (5, 2, 2)], "doc_id int, old_shard int, shard int")
+    for _ in range(2):
+        H.rewrite_affected(placed, path)
+        got = sorted((r["doc_id"], r["shard"]) for r in spark.read.parquet(path).select("doc_id", "shard").collect())
+        assert got == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 2)]
+    assert kept == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "held" / "shard=2").glob("*.parquet")}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", None) == mode
+
+
+def test_resharding_replaces_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, "t" * i, "a", "b", "c", "d") for i in range(40)], "doc_id int, text string, size string, shard string, slot string, old_shard string")
+    got = H.reshard(rows, F.lit(0), H.text_bytes(F.col("text")), [F.col("doc_id")], 4, 1)
+    assert sorted(got.columns) == sorted(rows.columns)
+    sizes = [r["sum(size)"] for r in got.groupBy("shard").sum("size").collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2 * 40 and sum(sizes) == sum(range(41))
+
+
+def test_long_conversations_and_texts_collapse(spark):
+    turns = [(1, i, "user", f"t{i}") for i in range(3000)] + [(2, i, "user", f"t{i}") for i in range(2999)] + [(3, 0, "user", "x" * 300_000), (4, 0, "user", "x" * 300_000), (5, 0, "user", "x" * 299_999), (6, 0, "us", "erx"), (7, 0, "use", "rx")]
+    got = C.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {(r["conv_id"], r["n_turns"], r["n_collapsed"]) for r in got.drop("rendered").collect()} == {(1, 3000, 0), (3, 1, 1), (5, 1, 0), (6, 1, 0), (7, 1, 0)}
+
+
+def test_lone_outliers_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(600, 4)) * 0.01 + 1, [[500.0, 0, 0, 0], [0, -700.0, 0, 0], [0, 0, 900.0, 0]]])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = N.nearest_neighbours(frame, frame.where("vec_id >= 600"), sample_rows=603).toPandas()
+    assert got.groupby("query_id").size().tolist() == [10, 10, 10]

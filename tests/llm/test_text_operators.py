@@ -1,3 +1,4 @@
+import itertools
 import re
 import time
 import zlib
@@ -346,3 +347,127 @@ def test_reliabilities_follow_the_votes():
     kept = I.train(posterior, {good: 50, bad: 70})
     assert kept[good] > 0.5 > kept[bad] and np.allclose(rates.sum(2), 1)
     assert I.decoded(good) == ("number", (2, 2, 2, 1, 2)) and I.train({}, {}) == {}
+
+
+# --- certificates, short items, marks
+
+
+def test_certificate(spark):
+    rng = np.random.default_rng(4)
+    pieces = spark.createDataFrame([(i, int(x), "s", 1.5) for i, x in enumerate([*rng.integers(100, 800, 700), *[1024] * 5])], "part int, length int, offset string, sequence_id double")
+    packed = K.pack(pieces, per_task=60)
+    assert packed.columns == ["part", "length", "sequence_id", "offset"] and packed.count() == 705
+    bins, least = K.certificate(packed)
+    lengths = np.array([r["length"] for r in pieces.collect()])
+    at_once = K.best_fit_decreasing(lengths, 1024)[0].max() + 1
+    assert -(-lengths.sum() // 1024) <= least <= at_once <= bins + 1 and bins <= 11 / 9 * least + 1
+    assert bins == packed.select("sequence_id").distinct().count()
+    assert K.certificate(packed.limit(0)) == (0, 0)
+
+
+def test_short_items_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    alphabet = list("abcdefghijklmnop")
+    items = [(n, "".join(rng.choice(alphabet, n))) for n in (3, 5, 8, 9, 10, 12, 15, 19, 20, 21, 24, 25, 28, 30, 31, 39, 40)]
+    rows = []
+    for k in range(60):
+        n, want = items[k % len(items)]
+        text = list(want)
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(len(text)))
+            text[at : at + 1] = [[], ["z"], [text[at], "y"]][int(rng.integers(3))] or (["q"] if len(text) == 1 else [])
+        rows.append((k, "".join(rng.choice(alphabet, 60)) + "".join(text) + "".join(rng.choice(alphabet, 40))))
+    bench = spark.createDataFrame([*items, (99, " . ")], "item_id int, text string")
+    got: dict = {}
+    for r in D.benchmark_matches(docs(spark, rows), bench).collect():
+        key = (r["doc_id"], r["item_id"])
+        got[key] = min(r["edits"], got.get(key, 99))
+    want = {}
+    for i, text in rows:
+        for item, w in items:
+            edits = int(brute_edits(folded(w)[0].tolist(), folded(text)[0]))
+            if edits <= int(len(w) * D.ERROR_RATE):
+                want[i, item] = edits
+    assert got == want
+
+
+def test_repeated_grams_take_bounded_steps(spark, monkeypatch):
+    monkeypatch.setattr(D, "HITS", 5000)
+    block = D.item_blocks([(1, "ab" * 40), (2, "c" * 30 + "d" * 30)], 8, 0.1, 1)
+    texts = ["x" * 3000 + "ab" * 45 + "y" * 3000 + "c" * 30 + "d" * 30, "ab" * 4000]
+    hits = D.matches_in(texts, block)
+    assert {(h[0], h[1]) for h in hits} == {(0, 1), (0, 2), (1, 1)} and all(h[4] == 0 for h in hits)
+
+
+def test_labelers_disagree_and_the_classifier_reads_marks():
+    cast = {I.votes(t, s, e, k) for t, s, e, k in [("Dr James Miller", 0, 15, "name"), ("Dr strange", 0, 10, "name"), ("a (at) b (dot) com", 0, 18, "address"), ("a (at) b (dot) zzzzzzzzzzzz", 0, 27, "address")]}
+    assert {v[0] for v in cast} == {0, 2} and {v[1] for v in cast} >= {0, 2}
+    assert I.marks_of("x: 1234567890", 3, 13) != I.marks_of("x 1234567890 y", 2, 12)
+    good, bad = I.code_of("number", (2, 2, 2, 1, 2)), I.code_of("number", (0, 1, 1, 0, 0))
+    counts = {good + I.CODES: 30, good: 20, bad: 70}
+    kept = I.train({good: 0.95, bad: 0.05}, counts)
+    assert set(kept) == set(counts) and kept[good + I.CODES] > 0.5 > kept[bad]
+
+
+def test_short_labelled_texts_all_count(spark):
+    rows = [(i, f"bad w{i}" if i % 2 else f"fine v{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = T.fit(docs(spark, rows), labels)
+    scores = {r["doc_id"]: r["score"] for r in T.toxicity_scores(docs(spark, [*rows, (None, "bad w99"), (41, None)]), model).collect()}
+    assert len(model.keys) and min(scores[i] for i in range(1, 40, 2)) > max(scores[i] for i in range(0, 40, 2))
+    assert T.toxicity_scores(docs(spark, []), model).count() == 0 and scores[None] > 0.5
+
+
+def test_decoding_against_all_paths():
+    """The likeliest reading by weighing every path of the lattice."""
+    words_seen = {"idiot": 50, "stupid": 40, "the": 90, "list": 30, "iota": 5, "dot": 20}
+    grams = {}
+    for w, n in words_seen.items():
+        low = f"  {w} "
+        for i in range(len(low) - 2):
+            grams[low[i : i + 3]] = grams.get(low[i : i + 3], 0) + n
+    model = T.CharModel(iter(grams.items()))
+
+    def cost(read):
+        x = y = 0
+        total = 0.0
+        for c in read + " ":
+            z = ord(c) - 96 if "a" <= c <= "z" else 0
+            total -= model.log[x][y][z] if x or y or z else 0.0
+            x, y = y, z
+        return total
+
+    for stretch in ("1d10t", "id1ot", "l1st", "d0t", "stup1d", "th3", "1ist"):
+        options = [[(c, T.COST_SIGN if c in T.LEET else 0.0), *[(x, T.COST_LEET) for x in T.LEET.get(c, "")]] for c in stretch]
+        paths = [("".join(x[0] for x in p), sum(x[1] for x in p)) for p in itertools.product(*options)]
+        want = min(cost(r) + extra for r, extra in paths)
+        got = T.decode(stretch, model)
+        assert min(cost(r) + extra for r, extra in paths if r == got) == pytest.approx(want)
+
+
+def test_scores_by_a_plain_loop(spark):
+    rows = [(i, f"bad thing number {i} here" if i % 2 else f"some fine words {i} there") for i in range(60)]
+    model = T.fit(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    held = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    for r in T.toxicity_scores(docs(spark, rows), model).collect():
+        text = T.restored(dict(rows)[r["doc_id"]], model.chars, {})
+        z = model.bias + sum(held.get(int(g), 0.0) for g in T.grams_of(text))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+# --- live secrets
+
+
+def test_live_spans_against_brute_force(spark):
+    table_rows = [(r["doc_id"], r["text"], r["source"]) for r in table(spark, SF, "documents").select("doc_id", "text", "source").collect()]
+    rows = [*table_rows, *[(9000 + i, f"key aB3dE5fG7hJ9kL1mN3pQ5r{i % 2} and {'ab' * 20}1A", f"o{i}/r{i % 3}" if i != 4 else None) for i in range(6)]]
+    uses: dict = {}
+    for _, text, source in rows:
+        for _, _, _, v in S.base_spans(text or "") + S.loose_spans(text or ""):
+            uses.setdefault(v, set()).add((source or "").split("/")[0])
+    got = S.secret_spans(docs(spark, rows)).collect()
+    want = []
+    for i, text, _ in rows:
+        live = {(s, e) for s, e, _, v in S.base_spans(text or "") + S.loose_spans(text or "") if len(uses[v]) <= S.MOST_OWNERS and S.entropy(v) >= S.LEAST_BITS}
+        want.append((i, sorted(live)))
+    assert sorted((r["doc_id"], sorted((x["start"], x["end"]) for x in r["extra"])) for r in got) == sorted(want)
