@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, packing.
+
+Every stage takes null and repeated ids, null, empty and very long texts, ties and an empty table. Null and empty
+texts are in no group, hold no item and no span, score as a text without telling n-grams, and become one end token. Rows
+that repeat an id are one document when groups are formed and rows of their own everywhere else.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandgraph.llm import decontaminate, minhash, packing, pii, toxicity
-from strandgraph.llm.common import shared_folder, table
+from strandgraph.llm.common import delete, shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet to the shared folder and read again."""
+    """Applies the stages to documents; each result is written as Parquet to the shared folder and read again.
+
+    A stage's files are deleted once the next stage's are written, so that two stages' files are held at most.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    used = None
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{number}_{name}")
         docs = spark.read.parquet(out)
+        if used:
+            delete(spark, used)
+        used = out
     return docs
