@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # The patterns of headers, dates, numbers and ages. (?U): Unicode digits and spaces.
 CJK = "一-龥"
@@ -99,12 +100,45 @@ def header_names(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(names).where(F.length("name") >= 2).distinct()
 
 
+#: What no output may hold; the other patterns and names count in strict texts only.
+ANYWHERE = ("patient_header", "national_id", "phone")
+
+
 def privacy_gate(outputs: DataFrame, names: DataFrame, id_col: str, text_col: str, strict_col: str) -> DataFrame:
-    """id, what, n, problem of what is left; names in a text that isn't strict are a warning (problem false)."""
-    left = outputs.select(id_col, F.explode(residuals(F.col(text_col))).alias("what", "n")).withColumn("problem", F.lit(True))
-    # Names of one release's headers: a set of some hundreds, joined with the texts that hold them.
-    named = outputs.join(names, F.col(text_col).contains(F.col("name"))).groupBy(id_col, strict_col).agg(F.count("*").cast("int").alias("n"))
-    return left.union(named.select(id_col, F.lit("derived_name"), "n", F.col(strict_col)))
+    """id, what, n, problem of what is left. Headers, national ids and phone numbers are a problem in every text; dates, record numbers
+    and ages in strict ones, and are no finding elsewhere; names are a problem in strict texts and a warning (problem false) in others."""
+    strict = F.coalesce(F.col(strict_col), F.lit(False))
+    left = outputs.select(id_col, strict.alias("__strict"), F.explode(residuals(F.col(text_col))).alias("what", "n"))
+    left = left.where(F.col("__strict") | F.col("what").isin(*ANYWHERE)).select(id_col, "what", "n", F.lit(True).alias("problem"))
+    # Names and texts meet by a name's first two letters, and only such pairs are compared in full.
+    letters = F.transform(F.sequence(F.lit(1), F.length("__text") - 1), lambda i: F.substr(F.col("__text"), i, F.lit(2)))
+    texts = outputs.select(F.col(id_col).alias("__id"), strict.alias("__strict"), F.col(text_col).alias("__text")).where(F.length("__text") >= 2)
+    pairs = texts.select("__id", "__strict", F.explode(F.array_distinct(letters)).alias("__key")).join(names.select("name", F.substring("name", 1, 2).alias("__key")), "__key")
+    named = pairs.drop("__key").distinct().join(texts, ["__id", "__strict"]).where(F.col("__text").contains(F.col("name"))).groupBy("__id", "__strict").agg(F.count_distinct("name").cast("int").alias("n"))
+    return left.union(named.select("__id", F.lit("derived_name"), "n", "__strict"))
+
+
+#: Fields of records that hold ids, which aren't texts.
+ID_FIELDS = ("id", "subject_id", "object_id", "passage_id", "pid")
+
+
+def string_leaves(records: DataFrame, skip: tuple[str, ...] = ID_FIELDS) -> Column:
+    """array of the non-empty strings at any depth of a record's structs, arrays and maps, fields of ids left out."""
+    none = F.array().cast("array<string>")
+
+    def leaves(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType):
+            return F.when(value != "", F.array(value)).otherwise(none)
+        if isinstance(kind, StructType):
+            return F.concat(none, *[F.coalesce(leaves(value[f.name], f.dataType), none) for f in kind if f.name not in skip])
+        if isinstance(kind, ArrayType):
+            return F.coalesce(F.flatten(F.transform(value, lambda x: F.coalesce(leaves(x, kind.elementType), none))), none)
+        if isinstance(kind, MapType):
+            kept = F.map_filter(value, lambda k, v: ~k.isin(*skip)) if isinstance(kind.keyType, StringType) else value
+            return leaves(F.map_values(kept), ArrayType(kind.valueType))
+        return none
+
+    return F.concat(none, *[F.coalesce(leaves(F.col(f"`{f.name}`"), f.dataType), none) for f in records.schema if f.name not in skip])
 
 
 class PrivacyError(Exception):

@@ -179,7 +179,7 @@ def pulse_sides(name: Column) -> Column:
     head = F.regexp_extract(s, "^([^左右]*)", 1)
     sides = F.regexp_extract_all(s, F.lit("[左右][^左右]*"), F.lit(0))
     parts = F.concat(F.when((head != "") | (F.size(sides) == 0), F.array(F.concat(F.lit("双"), head))).otherwise(F.array().cast("array<string>")), sides)
-    sided = F.transform(parts, lambda p: F.struct(F.when(p.startswith("双"), "双手").otherwise(F.substring(p, 1, 1)).alias("side"), features(F.substring(p, 2, 100), PULSES).alias("f")))
+    sided = F.transform(parts, lambda p: F.struct(F.when(p.startswith("双"), "双手").otherwise(F.substring(p, 1, 1)).alias("side"), features(F.substr(p, F.lit(2)), PULSES).alias("f")))
     each = lambda side: F.array_distinct(F.flatten(F.transform(F.filter(sided, lambda x: x["side"] == side), lambda x: x["f"])))
     return F.map_filter(F.create_map(*[x for side in ("左", "右", "双手") for x in (F.lit(side), each(side))]), lambda k, v: F.size(v) > 0)
 

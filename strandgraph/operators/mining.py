@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pattern import pairs_within
@@ -52,6 +52,11 @@ def rules(sets: DataFrame, n_baskets: int, min_confidence: float, min_lift: floa
     return out.where((F.col("confidence") >= min_confidence) & (F.col("lift") > min_lift))
 
 
+def rule_order() -> list[Column]:
+    """The order of rules in a table: falling confidence and support (in percent, one digit) and lift (two digits) as they are shown there."""
+    return [F.desc(F.round(100 * F.col("confidence"), 1)), F.desc(F.round(100 * F.col("support"), 1)), F.desc(F.round("lift", 2)), F.asc("antecedent"), F.asc("consequent")]
+
+
 def cooccurrence(members: DataFrame, basket: str, item: str, least: int = 1) -> DataFrame:
     """a < b, n baskets that hold both, from `least` on."""
     return pairs_within(members, basket, item).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -34,9 +34,9 @@ def resolved_engines(edges: DataFrame, csv_edges: DataFrame, previous: DataFrame
 
 
 def engine_modes(edges: DataFrame) -> DataFrame:
-    """layer and its most common engine, ties to the first by name."""
-    counts = edges.where("engine <> ''").groupBy("layer", "engine").agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("n"), "engine"))).where("r = 1").select("layer", "engine")
+    """layer and its most common engine, ties to the one seen first by the edges' ordinal."""
+    counts = edges.where("engine <> ''").groupBy("layer", "engine").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("n"), "first"))).where("r = 1").select("layer", "engine")
 
 
 def with_origin(edges: DataFrame, corpora: dict[str, str], layers: dict[str, str], numbered: str = "", modern: str = "modern") -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.privacy import string_leaves
+from ..operators import cohort as C
 from ..operators import mining as M
 from ..operators import pattern as P
 from ..operators import stats as S
-from ..sources.testdata import table
-from .analytics import BASKETS, baskets, quantities
+from ..sources.testdata import star_graph, table
+from .analytics import BASKETS, VIEWS, baskets, quantities
 from .registry import query
 
 
@@ -32,13 +34,6 @@ def a32(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("grp").agg(F.count("*").alias("pairs"), F.round(F.avg(1 - F.col("distance")), 9).alias("similarity"))
 
 
-@query("a43_timeline", """
-WITH y AS (SELECT o_custkey, min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last, count(*) AS degree FROM orders GROUP BY 1)
-SELECT o_custkey AS id, first, last, degree FROM y WHERE degree >= 2 ORDER BY first, last, id LIMIT 100""")
-def a43(spark: SparkSession, d: str) -> DataFrame:
-    return P.top(timeline(spark, d), 100, F.asc("first"), F.asc("last"), F.asc("id"))
-
-
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     """id, first and last year and degree of every customer with two orders or more, in any order."""
     told = table(spark, d, "orders").select("o_custkey", X.year(F.date_format("o_orderdate", "yyyy")).alias("y"))
@@ -46,20 +41,13 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("degree >= 2")
 
 
-@query("a43_timeline_all", """
+@query("a43_timeline", """
 WITH y AS (SELECT o_custkey, min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last, count(*) AS degree FROM orders GROUP BY 1)
 SELECT o_custkey AS id, first, last, degree FROM y WHERE degree >= 2 ORDER BY first, last, id""")
-def a43_all(spark: SparkSession, d: str) -> DataFrame:
+def a43(spark: SparkSession, d: str) -> DataFrame:
     return timeline(spark, d).orderBy("first", "last", "id")
 
 
-@query("g21_evidence_chain", """
-SELECT l_orderkey AS id, arg_max(l_linenumber, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS line, arg_max(p_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS part, arg_max(s_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS supplier
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey < 500 GROUP BY 1""")
-def g21(spark: SparkSession, d: str) -> DataFrame:
-    return evidence(spark, d, table(spark, d, "lineitem").where("l_orderkey < 500"))
-
-
 def evidence(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     """The line of largest quantity of each order, with the names of its part and supplier."""
     lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
@@ -68,10 +56,10 @@ def evidence(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     return named.select("id", F.col("l_linenumber").alias("line"), F.col("p_name").alias("part"), F.col("s_name").alias("supplier"))
 
 
-@query("g21_evidence_chain_all", """
+@query("g21_evidence_chain", """
 SELECT l_orderkey AS id, arg_max(l_linenumber, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS line, arg_max(p_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS part, arg_max(s_name, (l_quantity, l_linenumber, l_partkey, l_suppkey)) AS supplier
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
-def g21_all(spark: SparkSession, d: str) -> DataFrame:
+def g21(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d, table(spark, d, "lineitem"))
 
 
@@ -115,3 +103,62 @@ def g25(spark: SparkSession, d: str) -> DataFrame:
     place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "item"))
     ranked = counts.withColumn("rn", place("narrow")).withColumn("rb", place("broad"))
     return ranked.agg(F.count_if((F.col("rn") <= 20) & (F.col("rb") <= 20)).alias("overlap"), F.count_if(F.col("rn") <= 20).alias("leading"))
+
+
+@query("f08_cohorts", """
+WITH l AS (SELECT l_orderkey, bool_or(regexp_matches(p_brand, '(URGENT|#1|07)$')) AS d, bool_or(regexp_matches(s_name, '(URGENT|#1|07)$')) AS s, bool_or(l_returnflag = 'R') AS u
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+f AS (SELECT o_orderkey AS id, regexp_matches(o_orderpriority, '(URGENT|#1|07)$') OR coalesce(d, false) AS named, coalesce(s, false) AS s, coalesce(u, false) AS u FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT id, named AS candidate, named AND u AS included, named AND NOT u AS excluded, (named OR s) AND u AS extended FROM f""")
+def f08(spark: SparkSession, d: str) -> DataFrame:
+    part, supplier = table(spark, d, "part").select("p_partkey", "p_brand"), table(spark, d, "supplier").select("s_suppkey", "s_name")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    told = lines.join(part, "p_partkey").join(supplier, "s_suppkey").groupBy("l_orderkey").agg(
+        F.collect_set("p_brand").alias("diagnoses"), F.collect_set("s_name").alias("symptoms"), F.bool_or(F.col("l_returnflag") == "R").alias("used")
+    )
+    cases = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")).join(told.withColumnRenamed("l_orderkey", "id"), "id", "left")
+    return C.cohort(cases, "(URGENT|#1|07)$").select("id", "candidate", "included", "excluded", "extended")
+
+
+@query("f09_without_artefacts", """
+SELECT doc_id FROM documents WHERE NOT coalesce(source = 'src1' AND contains(text, 'license'), false) AND NOT coalesce(source = 'src2' AND contains(text, 'token'), false)""")
+def f09(spark: SparkSession, d: str) -> DataFrame:
+    return C.without_artefacts(table(spark, d, "documents"), "source", "text", [("src1", "license"), ("src2", "token")]).select("doc_id")
+
+
+KNOWN_BRANDS = "v AS (SELECT * FROM (VALUES ('Brand#1', 'a'), ('Brand#2', 'b'), ('Brand#3', 'a'), ('Brand#99', 'c')) t(brand, kind)), c AS (SELECT p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"
+
+
+def known_brands(spark: SparkSession, d: str) -> DataFrame:
+    counts = quantities(spark, d).groupBy("brand").agg(F.count("*").alias("n"))
+    return C.looked_up(counts, spark.createDataFrame([("Brand#1", "a"), ("Brand#2", "b"), ("Brand#3", "a"), ("Brand#99", "c")], "brand string, kind string"), "brand")
+
+
+@query("a22_coverage", f"""
+WITH {KNOWN_BRANDS} SELECT count(*) AS keys, count(kind) AS known_keys, sum(n)::BIGINT AS uses, coalesce(sum(n) FILTER (kind IS NOT NULL), 0)::BIGINT AS covered,
+  round(100.0 * coalesce(sum(n) FILTER (kind IS NOT NULL), 0) / sum(n), 1) AS share FROM c LEFT JOIN v USING (brand)""")
+def a22(spark: SparkSession, d: str) -> DataFrame:
+    return C.coverage(known_brands(spark, d))
+
+
+@query("j19_unknown_keys", f"WITH {KNOWN_BRANDS} SELECT brand, n FROM c WHERE brand NOT IN (SELECT brand FROM v)")
+def j19(spark: SparkSession, d: str) -> DataFrame:
+    return known_brands(spark, d).where("not known").select("brand", "n")
+
+
+@query("a29_degree_summary", f"""
+WITH {VIEWS}, x AS (SELECT s AS id FROM e UNION ALL SELECT o FROM e), g AS (SELECT id, count(*) AS degree FROM x GROUP BY id)
+SELECT count(*) AS n, median(degree)::DOUBLE AS median, max(degree) AS greatest FROM g""")
+def a29(spark: SparkSession, d: str) -> DataFrame:
+    return S.degree_summary(P.degree(star_graph(spark, d).edges, "n_support"), "degree")
+
+
+@query("x30_string_leaves", """
+SELECT o_orderkey::VARCHAR AS id, [o_orderstatus, o_orderpriority, o_orderstatus, o_orderpriority] AS leaves FROM orders""")
+def x30(spark: SparkSession, d: str) -> DataFrame:
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    records = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), status.alias("status"), F.struct(F.lit("p1").alias("pid"), priority.alias("name"), F.lit("").alias("note")).alias("info"),
+        F.array(F.struct(status.alias("s"), F.lit(3).alias("n"))).alias("items"), F.create_map(F.lit("passage_id"), F.lit("p2"), F.lit("k"), priority).alias("more"),
+    )
+    return records.select("id", string_leaves(records).alias("leaves"))

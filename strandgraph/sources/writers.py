@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.privacy import require_clean
+from ..functions.privacy import privacy_gate, require_clean, string_leaves
 from ..model import Graph, filled
 from ..operators.triples import literal, statements, triples, turtle_lines
 
@@ -59,6 +61,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_table(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A report of some hundreds of rows as one CSV file that begins with a byte-order mark, for spreadsheets."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    field = lambda c: F.when(c.rlike('[",\n\r]'), quoted(c)).otherwise(F.coalesce(c, F.lit("")))
+    head = "\ufeff" + ",".join('"' + n.replace('"', '""') + '"' if re.search('[",\n\r]', n) else n for n in rows.columns)
+    line = F.concat_ws(",", *[field(F.col(f"`{n}`").cast("string")) for n in rows.columns])
+    numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("r"), line.alias("value"))
+    first = rows.sparkSession.createDataFrame([(0, head)], "r int, value string")
+    first.union(numbered).coalesce(1).sortWithinPartitions("r").select("value").write.mode("overwrite").text(path)
+
+
+def private_export(records: DataFrame, names: DataFrame, path: str, public: str, id_col: str = "id") -> None:
+    """Writes records that must not be published as JSON: never into the public folder, and only if no string of theirs,
+    at any depth, holds personal data."""
+    inside = os.path.realpath(path.removeprefix("file://"))
+    if os.path.commonpath([inside, os.path.realpath(public.removeprefix("file://"))]) == os.path.realpath(public.removeprefix("file://")):
+        raise ValueError(f"{path} lies in the public folder {public}")
+    texts = records.select(F.col(id_col), F.explode(string_leaves(records)).alias("text"), F.lit(True).alias("strict"))
+    require_clean(privacy_gate(texts, names, id_col, "text", "strict"))
+    records.write.mode("overwrite").json(path)
+
+
 def write_graph_csv(graph: Graph, path: str, attributes: list[str]) -> None:
     write_csv(node_table(graph.nodes, attributes), f"{path}/nodes")
     write_csv(edge_table(graph.edges), f"{path}/edges")
@@ -99,11 +123,11 @@ def write_turtle(graph: Graph, path: str, qualifiers: tuple[str, ...] = (), lang
 
 
 def ontology_lines(classes: DataFrame, relations: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """value: Turtle of classes and relations; 0..1 relations are functional unless a subject breaks that."""
+    """value: Turtle of classes and relations; relations whose cardinality ends in ..1 are functional unless a subject breaks that."""
     iri = lambda c: F.concat(F.lit(":"), c)
     of_class = classes.select(F.concat(iri(F.col("cls")), F.lit(' a owl:Class ; rdfs:label "'), literal(F.coalesce("zh", "cls")), F.lit('"@zh .')).alias("value"))
     broken = exceptions.select("type").distinct().withColumn("broken", F.lit(True))
-    kind = F.when((F.col("card") == "0..1") & F.col("broken").isNull(), "owl:ObjectProperty, owl:FunctionalProperty").otherwise("owl:ObjectProperty")
+    kind = F.when(F.col("card").endswith("..1") & F.col("broken").isNull(), "owl:ObjectProperty, owl:FunctionalProperty").otherwise("owl:ObjectProperty")
     of_type = relations.join(F.broadcast(broken), "type", "left").select(
         F.concat(iri(F.col("type")), F.lit(" a "), kind, F.lit(" ; rdfs:domain "), iri(F.col("domain")), F.lit(" ; rdfs:range "), iri(F.col("range")), F.lit(" .")).alias("value")
     )

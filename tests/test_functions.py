@@ -3,12 +3,12 @@ from pyspark.sql import functions as F
 from strandgraph.functions import privacy as V
 from strandgraph.functions import text as X
 
-DEMO = (
-    "复投前方7剂。 / 甲乙丙 女55岁12345678 / 2023.5.5初诊 / 右膝疼痛半个月，4月20日跌倒。DR（20221017本院）。"
-    "姐姐丁某戊女14岁8765432 / 2026年5月4日来诊。 note: 4 visits 2022-07-01..2022-07-22 / 2025年3月17：汗出减少"
-    " / 2025年10月27三诊 / 20233.3.17二诊 / 3.17复诊"
+# Texts of our own, one for each rule.
+NOTE = (
+    "病人钱某男62岁20031234，2021年11月9日初诊。 / 2021/12/01复查；20220115摄片。 / 去年10月起咳嗽，8月2日加重。 / 2019年7月发病"
+    " / 3 visits 2021-11-09..2021-12-01 / 2021.12.15二诊 / 12.28三诊 / 妹妹周某某女9岁7654321"
 )
-CITE = "《绍兴医药学报》1920年2月12卷第2期"
+CITE = "《某某杂志》1931年5月3卷第7期"
 
 
 def one(spark, *columns):
@@ -16,26 +16,27 @@ def one(spark, *columns):
 
 
 def test_redaction_leaves_nothing(spark):
-    rows = spark.createDataFrame([(1, DEMO), (2, CITE), (3, None), (4, ""), (5, "王五男95岁1234567。")], "id int, text string")
+    rows = spark.createDataFrame([(1, NOTE), (2, CITE), (3, None), (4, ""), (5, "王五男95岁1234567。")], "id int, text string")
     done = {r["id"]: r for r in V.redact(rows, "text").withColumn("left", V.residuals(F.col("text"))).collect()}
     assert done[1]["left"] == {}
-    for part in ("2025年：汗出减少", "2025年三诊", "2023年二诊", "某日复诊", "4 visits over 21 days (2022)"):
-        assert part in done[1]["text"]
-    assert done[1]["hits"] == {"patient_header": 2, "visit_span": 1, "date": 8}
+    for part in ("患者（男，62岁），2021年初诊", "2021年复查；2022年摄片", "去年起咳嗽，某日加重", "2019年发病", "3 visits over 22 days (2021)", "2021年二诊", "某日三诊", "患者（女，9岁）"):
+        assert part in done[1]["text"], part
+    assert done[1]["hits"]["patient_header"] == 2 and done[1]["hits"]["visit_span"] == 1
     assert done[2]["text"] == CITE and done[2]["hits"] == {}
     assert done[3]["text"] is None and done[4]["text"] == ""
     assert done[5]["text"] == "患者（男，90岁以上）。"
 
 
 def test_gate(spark):
-    names = V.header_names(spark.createDataFrame([(DEMO,)], "text string"))
-    assert {r["name"] for r in names.collect()} == {"甲乙丙", "丁某戊"}
-    out = spark.createDataFrame([(1, "甲乙丙来诊", True), (2, "甲乙丙来诊", False), (3, "好", True)], "id int, text string, strict boolean")
+    names = V.header_names(spark.createDataFrame([(NOTE,)], "text string"))
+    assert {r["name"] for r in names.collect()} == {"钱某", "周某某"}
+    rows = [(1, "钱某来诊", True), (2, "钱某来诊", False), (3, "好", True), (4, "4月20日", False), (5, "4月20日", True), (6, "电话13812345678", False), (7, None, True), (8, "2020年1月2日，95岁", None), (9, "钱", True)]
+    out = spark.createDataFrame(rows, "id int, text string, strict boolean")
     gate = V.privacy_gate(out, names, "id", "text", "strict")
-    assert {(r["id"], r["what"], r["problem"]) for r in gate.collect()} == {(1, "derived_name", True), (2, "derived_name", False)}
+    assert {(r["id"], r["what"], r["problem"]) for r in gate.collect()} == {(1, "derived_name", True), (2, "derived_name", False), (5, "month_day", True), (6, "phone", True)}
     with pytest.raises(V.PrivacyError):
         V.require_clean(gate)
-    V.require_clean(gate.where("id > 1"))
+    V.require_clean(gate.where("id in (2, 3, 4, 7, 8, 9)"))
 
 
 @pytest.mark.parametrize(
@@ -78,3 +79,31 @@ def test_small_functions(spark):
 def test_nfkc(spark):
     got = spark.createDataFrame([("Ａ Ｂ　c",), (None,)], "t string").select(X.nfkc("t").alias("t")).collect()
     assert [r["t"] for r in got] == ["ABc", None]
+
+
+def test_long_pulse_descriptions_are_read_whole(spark):
+    row = one(spark, X.pulse_sides(F.lit("脉左" + "某" * 150 + "弦")))
+    assert row[0] == {"左": ["弦"]}
+
+
+def test_string_leaves_at_any_depth(spark):
+    rows = spark.createDataFrame([("n1", "a", [("b", "p1", {"id": "x", "k": "c"}), (None, "p2", None)], 3)], "id string, name string, items array<struct<t: string, pid: string, m: map<string, string>>>, n int")
+    assert rows.select(V.string_leaves(rows).alias("x")).first()["x"] == ["a", "b", "c"]
+
+
+def test_private_export(spark, tmp_path):
+    from strandgraph.sources.writers import private_export, write_table
+
+    names = spark.createDataFrame([("钱某",)], "name string")
+    good, bad = spark.createDataFrame([("1", ["咳"])], "id string, x array<string>"), spark.createDataFrame([("1", ["钱某咳"])], "id string, x array<string>")
+    public = str(tmp_path / "public")
+    with pytest.raises(ValueError):
+        private_export(good, names, f"{public}/x", public)
+    with pytest.raises(V.PrivacyError):
+        private_export(bad, names, str(tmp_path / "own"), public)
+    private_export(good, names, str(tmp_path / "own"), public)
+    assert spark.read.json(str(tmp_path / "own")).count() == 1
+    report = spark.createDataFrame([(2, 'b "q"'), (1, "a,b"), (3, None)], "n int, t string")
+    write_table(report, str(tmp_path / "report"), ["n"])
+    (file,) = (tmp_path / "report").glob("part-*")
+    assert file.read_bytes().decode("utf-8") == '\ufeffn,t\n1,"a,b"\n2,"b ""q"""\n3,\n'

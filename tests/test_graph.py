@@ -184,3 +184,36 @@ def test_release(spark):
     done = {r["pid"]: r for r in R.published_corpus(passages, "m").collect()}
     assert done["1"]["text"] == "2022年来诊" and done["1"]["visit_span_days"] == 2 and done["1"]["age"] == "90+" and done["2"]["text"] == DEMO
     assert R.published_corpus(passages, None).count() == 2
+
+
+def test_cardinality_ends_in_one(spark):
+    edges = spark.createDataFrame([("a", "x", "r"), ("a", "y", "r"), ("a", "x", "s"), ("a", "y", "s"), ("a", "x", "t"), ("a", "y", "t")], "subject_id string, object_id string, type string")
+    ontology = spark.createDataFrame([("r", "1..1"), ("s", "0..1"), ("t", "0..*")], "type string, card string")
+    assert {r["type"] for r in Q.cardinality_exceptions(edges, ontology).collect()} == {"r", "s"}
+
+
+def test_exact_tails_against_all_tables(spark):
+    cells = [(a, b, c, d) for a in range(5) for b in range(5) for c in range(5) for d in range(5) if a + b + c + d] + [(300, 700, 200, 5000), (0, 900, 40, 9000), (5, 900, 40, 100)]
+    rows = spark.createDataFrame(cells, "a long, b long, c long, d long").select("a", "b", "c", "d", S.fisher_greater("a", "b", "c", "d").alias("p"))
+    for r in rows.collect():
+        row, col, n = r["a"] + r["b"], r["a"] + r["c"], sum(r[:4])
+        want = sum(math.comb(row, x) * math.comb(n - row, col - x) for x in range(r["a"], min(row, col) + 1)) / math.comb(n, col)
+        assert math.isclose(r["p"], want, rel_tol=1e-8, abs_tol=1e-12), r
+
+
+def test_rank_correlation_p(spark):
+    rows = spark.createDataFrame([(0.8, 5), (0.0, 10), (1.0, 4), (0.5, 30), (0.3, 2)], "rho double, n long").select(S.correlation_p("rho", "n").alias("p")).collect()
+    assert [None if r["p"] is None else round(r["p"], 4) for r in rows] == [0.1041, 1.0, 0.0, 0.0049, None]
+
+
+def test_cases_by_diagnosis_year_and_text(spark):
+    records = spark.createDataFrame([("1", "Cough case", 2001, ["cold"]), ("2", "other", 2002, ["Cough"]), ("3", None, None, None)], "id string, title string, year int, diagnoses array<string>")
+    ids = lambda **k: {r["id"] for r in P.case_list(records, **k).collect()}
+    assert ids() == {"1", "2", "3"} and ids(q="cough") == {"1", "2"} and ids(year=2002) == {"2"} and ids(diagnosis="cold", q="x") == set()
+
+
+def test_first_seen_engine_wins_ties(spark):
+    edges = spark.createDataFrame([(1, "l", "b"), (2, "l", "a"), (3, "m", "a"), (4, "m", ""), (5, "m", "")], "ordinal int, layer string, engine string")
+    from strandgraph.operators.release import engine_modes
+
+    assert {tuple(r) for r in engine_modes(edges).collect()} == {("l", "b"), ("m", "a")}

@@ -10,10 +10,10 @@ def rows(spark, name):
 
 def test_no_id_range_is_left_out(spark):
     lines, orders = table(spark, SF, "lineitem"), table(spark, SF, "orders")
-    assert rows(spark, "w02_positional_join_all").count() == lines.count()
-    assert rows(spark, "g21_evidence_chain_all").count() == lines.select("l_orderkey").distinct().count()
+    assert rows(spark, "w02_positional_join").count() == lines.count()
+    assert rows(spark, "g21_evidence_chain").count() == lines.select("l_orderkey").distinct().count()
     urgent = lines.join(orders.where("o_orderpriority = '1-URGENT'"), lines["l_orderkey"] == orders["o_orderkey"])
-    assert rows(spark, "sparql2_statements_by_attribute").count() == urgent.select("l_orderkey", "l_partkey").distinct().count()
+    assert rows(spark, "sparql2_statements_with_provenance").count() == urgent.select("l_orderkey", "l_partkey").distinct().count()
 
 
 def test_next_line_of_the_same_part(spark):
@@ -23,5 +23,5 @@ def test_next_line_of_the_same_part(spark):
 
 def test_every_row_of_degree_and_timeline(spark):
     edges = star_graph(spark, SF).edges
-    assert rows(spark, "a07_degree_all").count() == edges.select("subject_id").union(edges.select("object_id")).distinct().count()
-    assert rows(spark, "a43_timeline_all").count() == table(spark, SF, "orders").groupBy("o_custkey").count().where("count >= 2").count()
+    assert rows(spark, "a07_degree").count() == edges.select("subject_id").union(edges.select("object_id")).distinct().count()
+    assert rows(spark, "a43_timeline").count() == table(spark, SF, "orders").groupBy("o_custkey").count().where("count >= 2").count()
