@@ -13,7 +13,8 @@ most others. Only where members then still lie in several components, those outs
 bucket's largest component are compared with all others, inside tasks, which pass on
 links only. Each comparison is made in tiles: a hub's (at most 32) buckets are dealt by
 chunks of their ids, so that a set is sent once to a tile, however many bands it shares
-there. When this ends, each pair that shares a band has been compared or is connected
+there. Signatures are compared first, and sets are made and sent only of documents that have a
+partner whose signature is near. When this ends, each pair that shares a band has been compared or is connected
 already, so no link between components is lost, whatever the bucket's size.
 """
 
@@ -36,8 +37,8 @@ PERCENT = 75
 CHUNK, GROUP_BYTES = 512, 12 << 20
 #: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 8 deviations away.
 LEAST_AGREEMENT = 0.75 - 8 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
-#: Up to so many (group, id) rows of 16 bytes are broadcast to the sets; more are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Ids are broadcast up to so many, if they have no more bytes than that in all; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Memory bound of the word-hash cache of a task; when full it starts anew.
 CACHE_WORDS = 400_000
 
@@ -116,14 +117,14 @@ def _sets():
     cache: dict[bytes, int] = {}
 
     def work(texts):
-        items, one, two = [], [], []
+        items, bands, sketches = [], [], []
         for text in texts:
             values = shingle_set(text, cache)
+            keys, sketch = band_keys(values) if len(values) else (None, None)
             items.append(values.tobytes())
-            digest = np.frombuffer(xxhash.xxh3_128_digest(items[-1]), np.int64)
-            one.append(digest[0])
-            two.append(digest[1])
-        return None, (items, one, two)
+            bands.append(None if keys is None else keys.view(np.int64))
+            sketches.append(None if sketch is None else sketch.tobytes())
+        return None, (items, bands, sketches)
 
     return work
 
@@ -149,7 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = checkpoint(map_texts(rows, "text", {"id": "id"}, _signed, "n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
     with_set = signed.where("n_shingles > 0 and id is not null")
-    reps = checkpoint(with_set.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    first = [F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]
+    reps = checkpoint(with_set.groupBy("s1", "s2").agg(F.min("id").alias("id"), *first))
+    # A repeated id may have several signatures, and all count.
+    signs = reps.select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
 
     # The band's number is part of its key. Counts are joined from a table of their own, so that a hot key can be split.
     entries = reps.select("id", F.explode("bands").alias("key"))
@@ -161,14 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starred = checkpoint(buckets.join(gathered(hubs, hubs.count()), "key"))
     starred = gathered(starred, starred.count())
 
-    # The set and signature of each member; a repeated id may have several, and all count.
-    members = reps.join(checkpoint(met.select("id")), "id", "left_semi").withColumnsRenamed({"s1": "r1", "s2": "r2"})
-    passed = {c: c for c in ("id", "r1", "r2", "bands", "sketch")}
-    sets = map_texts(members.join(rows, "id"), "text", passed, _sets, "items binary, s1 long, s2 long")
-    full = checkpoint(sets.where("s1 = r1 and s2 = r2").select("id", "items", "bands", "sketch"))
-
     # Rows that share an id tie their sets together.
-    links = _links_to_hubs(starred, full)
+    links = _links_to_hubs(starred, signs, rows)
     odd = with_set.groupBy("id").agg(F.min("s1").alias("l1"), F.max("s1").alias("h1"), F.min("s2").alias("l2"), F.max("s2").alias("h2")).where("l1 <> h1 or l2 <> h2")
     odd = checkpoint(odd.select("id"))
     if not odd.isEmpty():
@@ -179,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = reps.select("s1", "s2", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("s1", "s2", "c")
     rest = _pending(starred, component)
     if not rest.isEmpty():
-        further = checkpoint(connected_components(_links_within(rest, full), "a", "b")).toDF("c", "component")
+        further = checkpoint(connected_components(_links_within(rest, signs, rows), "a", "b")).toDF("c", "component")
         place = place.join(further, "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("c"))
     return (
         signed.select("id", "n_shingles", "s1", "s2")
@@ -193,44 +191,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _with_sets(members: DataFrame, full: DataFrame, tile: list[str], compare, kind: str) -> DataFrame:
-    """What `compare` finds in groups of tiles: members (rows with id and the columns that name their tile) beside the sets of their ids, each set once a group."""
-    members = checkpoint(members)
-    size = full.agg(F.avg(F.length("items"))).first()[0] or 1.0
-    groups = int(members.count() * size / GROUP_BYTES) + 1
+def _broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """ids (a checkpoint that has a column id), to be broadcast if a check of their number and bytes allows it."""
+    n, size = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("id").cast("string"))), F.lit(0))).first()
+    return F.broadcast(ids) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else ids
+
+
+def _in_tiles(members: DataFrame, held: DataFrame, row_bytes: float, tile: list[str], compare, made: str) -> DataFrame:
+    """What `compare` makes of groups of tiles: members (a checkpoint of rows with id and the columns that name their tile) beside the
+    rows that `held` has for their ids, each once a group."""
+    groups = int(members.count() * row_bytes / GROUP_BYTES) + 1
     members = members.withColumn("g", F.pmod(F.xxhash64(*tile), F.lit(groups)).cast("int"))
     need = checkpoint(members.select("g", "id").distinct())
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    sets = full.join(need, "id")
-    sets = sets.toDF(*sets.columns)  # columns of its own, as both sides come from one table
-    return members.groupBy("g").cogroup(sets.groupBy("g")).applyInPandas(compare, f"a {kind}, b {kind}")
+    beside = held.join(_broadcast_if_small(need), "id")
+    beside = beside.toDF(*beside.columns)  # columns of its own, as both sides come from one table
+    return members.groupBy("g").cogroup(beside.groupBy("g")).applyInPandas(compare, made)
+
+
+def _compared_by_sets(members: DataFrame, rows: DataFrame, tile: list[str], compare, kind: str) -> DataFrame:
+    """The links that `compare` finds by the full sets of the members, made from their texts."""
+    ids = checkpoint(members.select("id").distinct())
+    texts = rows.join(_broadcast_if_small(ids), "id", "left_semi")
+    full = checkpoint(map_texts(texts, "text", {"id": "id"}, _sets, "items binary, bands array<long>, sketch binary").where("length(items) > 0"))
+    size = full.agg(F.avg(F.length("items"))).first()[0] or 1.0
+    return _in_tiles(members, full, size + 400, tile, compare, f"a {kind}, b {kind}")
 
 
-def _links_to_hubs(starred: DataFrame, full: DataFrame) -> DataFrame:
+def _links_to_hubs(starred: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) of members with the hubs of their buckets."""
     kind = dict(starred.dtypes)["id"]
     pairs = starred.where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n"))
-    pairs = pairs.withColumn("y", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    pairs = pairs.select("hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("y"), "id")
     # A hub is a member of each of its tiles.
-    both = pairs.select("hub", "y", "id").union(pairs.select("hub", "y", F.col("hub").alias("id")).distinct())
-    return _with_sets(both, full, ["hub", "y"], _hub_links, kind)
-
-
-def _hub_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    held = _held(sets)
-    links = [(hub, i) for hub, i in zip(members["hub"], members["id"], strict=True) if hub != i and any(similar(x[0], y[0]) for x in held.get(hub, ()) for y in held.get(i, ()))]
-    return pd.DataFrame(links, columns=["a", "b"])
+    with_hub = lambda pairs: checkpoint(pairs.union(pairs.select("hub", "y", F.col("hub").alias("id")).distinct()))
+    near = checkpoint(_in_tiles(with_hub(pairs), signs.select("id", "n", "sketch"), 200, ["hub", "y"], _hub_near, f"hub {kind}, y int, id {kind}"))
+    return _compared_by_sets(with_hub(near), rows, ["hub", "y"], _hub_links, kind)
 
 
-def _held(sets: pd.DataFrame) -> dict:
-    """Set, keys of bands and sketch by id; of a repeated id several."""
+def _by_id(held: pd.DataFrame, *columns: str) -> dict:
+    """The rows of each id as tuples; of a repeated id several."""
     out: dict = {}
-    for i, items, bands, sketch in zip(sets["id"], sets["items"], sets["bands"], sets["sketch"], strict=True):
-        out.setdefault(i, []).append((np.frombuffer(items, np.uint64), np.asarray(bands), np.frombuffer(sketch, np.uint8)))
+    for i, *row in zip(held["id"], *[held[c] for c in columns], strict=True):
+        out.setdefault(i, []).append(tuple(np.frombuffer(x, np.uint64 if c == "items" else np.uint8) if c in ("items", "sketch") else x for c, x in zip(columns, row, strict=True)))
     return out
 
 
+def _hub_near(members: pd.DataFrame, signs: pd.DataFrame) -> pd.DataFrame:
+    held = _by_id(signs, "n", "sketch")
+    agree = lambda x, y: 100 * min(x[0], y[0]) >= PERCENT * max(x[0], y[0]) and (x[1] == y[1]).mean() >= LEAST_AGREEMENT
+    near = [hub != i and any(agree(x, y) for x in held.get(hub, ()) for y in held.get(i, ())) for hub, i in zip(members["hub"], members["id"], strict=True)]
+    return members.loc[np.array(near, bool), ["hub", "y", "id"]]
+
+
+def _hub_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    held = _by_id(sets, "items")
+    links = [(hub, i) for hub, i in zip(members["hub"], members["id"], strict=True) if hub != i and any(similar(x, y) for (x,) in held.get(hub, ()) for (y,) in held.get(i, ()))]
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
 def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component: key, id, hub, component, most (the component with most members of the bucket), and over
     the hub's buckets the most members and the most members outside `most`."""
@@ -246,7 +264,7 @@ def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
     return gathered(rest, rest.count())
 
 
-def _links_within(rest: DataFrame, full: DataFrame) -> DataFrame:
+def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) of components by members of a bucket that lie in different ones.
 
     Members outside the bucket's largest component are the asking side; all members are the other side.
@@ -255,38 +273,60 @@ def _links_within(rest: DataFrame, full: DataFrame) -> DataFrame:
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
     of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), chunks(n)).cast("int")
-    columns = ["hub", "key", "id", "component", "x", "y"]
+    columns = ["hub", "x", "y", "key", "id", "component"]
     asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
     asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
-    return _with_sets(asking.union(asked), full, ["hub", "x", "y"], _component_links, kind)
+    tile, made = ["hub", "x", "y"], f"hub {kind}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
+    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, _near_members, made))
+    return _compared_by_sets(near, rows, tile, _component_links, kind)
+
+
+def _near_places(members: pd.DataFrame, held: dict):
+    """For each row that asks and each of its id's tuples (n or set, bands, sketch): the row's place, the tuple, the other side's places and tuples, and which of these are near.
+
+    A pair counts in the first band that it shares only.
+    """
+    size = lambda x: x if np.ndim(x) == 0 else len(x)
+    ids, own, asks = members["id"].to_numpy(), members["component"].to_numpy(), members["asks"].to_numpy(bool)
+    for (_, _, _, key), at in members.groupby(["hub", "x", "y", "key"], sort=False).indices.items():
+        asked = [(j, x) for j in at[~asks[at]] for x in held.get(ids[j], ())]
+        asking = [(i, x) for i in at[asks[at]] for x in held.get(ids[i], ())]
+        if not asked or not asking:
+            continue
+        places = np.array([j for j, _ in asked])
+        sizes, bands, sketches = np.array([size(x[0]) for _, x in asked]), np.stack([x[1] for _, x in asked]), np.stack([x[2] for _, x in asked])
+        for i, x in asking:
+            near = np.minimum(sizes, size(x[0])) * 100 >= PERCENT * np.maximum(sizes, size(x[0]))
+            near &= (own[places] != own[i]) & ((sketches == x[2]).mean(axis=1) >= LEAST_AGREEMENT)
+            hits = np.flatnonzero(near)
+            yield i, x, asked, hits[(bands[hits] == x[1]).argmax(axis=1) == (x[1] == key).argmax()]
+
+
+def _near_members(members: pd.DataFrame, signs: pd.DataFrame) -> pd.DataFrame:
+    keep = np.zeros(len(members), bool)
+    for i, _, asked, hits in _near_places(members, _by_id(signs, "n", "bands", "sketch")):
+        if len(hits):
+            keep[i] = True
+            keep[[asked[j][0] for j in hits.tolist()]] = True
+    return members.loc[keep, ["hub", "x", "y", "key", "id", "component", "asks"]]
 
 
 def _component_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    held, links = _held(sets), []
+    links: list[tuple] = []
     joined: dict = {}  # component to the one that it has joined in this group
+    own = members["component"].to_numpy()
 
     def root(c):
         while c in joined:
             c = joined[c]
         return c
 
-    for (_, _, _, key), bucket in members.groupby(["hub", "x", "y", "key"], sort=False):
-        asks = bucket["asks"].to_numpy()
-        side = lambda which: [(c, *one) for i, c in zip(bucket["id"][which], bucket["component"][which], strict=True) for one in held.get(i, ())]  # noqa: E731, B023
-        asked = side(~asks)
-        if not asked:
-            continue
-        sizes, bands, sketches = np.array([len(x[1]) for x in asked]), np.stack([x[2] for x in asked]), np.stack([x[3] for x in asked])
-        for c, items, own, sketch in side(asks):
-            near = np.minimum(sizes, len(items)) * 100 >= PERCENT * np.maximum(sizes, len(items))
-            near &= (sketches == sketch).mean(axis=1) >= LEAST_AGREEMENT
-            at = np.flatnonzero(near)
-            # A pair is looked at in the first band that it shares.
-            for j in at[(bands[at] == own).argmax(axis=1) == (own == key).argmax()].tolist():
-                d, theirs = asked[j][:2]
-                if root(c) != root(d) and similar(items, theirs):
-                    links.append((c, d))
-                    joined[root(d)] = root(c)
+    for i, x, asked, hits in _near_places(members, _by_id(sets, "items", "bands", "sketch")):
+        for j in hits.tolist():
+            c, d = root(own[i]), root(own[asked[j][0]])
+            if c != d and similar(x[0], asked[j][1][0]):
+                links.append((own[i], own[asked[j][0]]))
+                joined[d] = c
     return pd.DataFrame(links, columns=["a", "b"])
 
 
