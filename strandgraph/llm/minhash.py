@@ -34,7 +34,7 @@ WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
 #: Members of a tile's chunk; bytes of sets in a group of tiles, which is what a task takes at once.
-CHUNK, GROUP_BYTES = 512, 12 << 20
+CHUNK, GROUP_BYTES = 256, 12 << 20
 #: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 8 deviations away.
 LEAST_AGREEMENT = 0.75 - 8 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
 #: Ids are broadcast up to so many, if they have no more bytes than that in all; more are joined by shuffle.
@@ -200,7 +200,8 @@ def _broadcast_if_small(ids: DataFrame) -> DataFrame:
 def _in_tiles(members: DataFrame, held: DataFrame, row_bytes: float, tile: list[str], compare, made: str) -> DataFrame:
     """What `compare` makes of groups of tiles: members (a checkpoint of rows with id and the columns that name their tile) beside the
     rows that `held` has for their ids, each once a group."""
-    groups = int(members.count() * row_bytes / GROUP_BYTES) + 1
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(partitions, int(members.count() * row_bytes / GROUP_BYTES) + 1)
     members = members.withColumn("g", F.pmod(F.xxhash64(*tile), F.lit(groups)).cast("int"))
     need = checkpoint(members.select("g", "id").distinct())
     beside = held.join(_broadcast_if_small(need), "id")
@@ -277,7 +278,7 @@ def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFra
     asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
     asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
     tile, made = ["hub", "x", "y"], f"hub {kind}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
-    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, _near_members, made))
+    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, [*tile, "key"], _near_members, made))
     return _compared_by_sets(near, rows, tile, _component_links, kind)
 
 
