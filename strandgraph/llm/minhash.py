@@ -11,11 +11,12 @@ Groups are never expanded into pairs. Equal sets collapse to one representative
 first. Within a bucket each member is compared with one hub, the member that meets the
 most others. Only where members then still lie in several components, those outside the
 bucket's largest component are compared with all others, inside tasks, which pass on
-links only. Each comparison is made in tiles: a hub's (at most 32) buckets are dealt by
-chunks of their ids, so that a set is sent once to a tile, however many bands it shares
-there. Signatures are compared first, and sets are made and sent only of documents that have a
-partner whose signature is near. When this ends, each pair that shares a band has been compared or is connected
-already, so no link between components is lost, whatever the bucket's size.
+links only. Each comparison is made in tiles of bounded size: a hub and a chunk of its
+members, or two chunks of a bucket; a task gets each signature or set once for all its
+tiles. Signatures are compared first, and sets are made and sent only of documents that
+have a partner whose signature is near. When this ends, each pair that shares a band has
+been compared or is connected already, so no link between components is lost, whatever the
+bucket's size.
 """
 
 from __future__ import annotations
@@ -277,8 +278,8 @@ def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFra
     columns = ["hub", "x", "y", "key", "id", "component"]
     asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
     asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
-    tile, made = ["hub", "x", "y"], f"hub {kind}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
-    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, [*tile, "key"], _near_members, made))
+    tile, made = ["hub", "x", "y", "key"], f"hub {kind}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
+    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, _near_members, made))
     return _compared_by_sets(near, rows, tile, _component_links, kind)
 
 
