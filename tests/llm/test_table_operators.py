@@ -154,6 +154,29 @@ def test_recall_and_exact_scores(spark):
     assert len(got) == 750 and found / 750 >= 0.9
 
 
+def test_full_leaves_are_split(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8))
+    x = centres[rng.integers(30, size=4000)] + 0.3 * rng.normal(size=(4000, 8))
+    x[:1300] = x[0]  # can't be split
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = N.nearest_neighbours(frame, frame.where("vec_id % 20 = 0"), sample_rows=300, split_rows=60, leaf_rows=30).toPandas()
+    ids = np.arange(4000)
+    want = brute_neighbours(x, ids, range(0, 4000, 20), 10)
+    found = 0
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and q not in own["vec_id"].tolist()
+        if q >= 1300:
+            found += len(set(own["vec_id"]) & {i for i, _ in want[q]})
+        else:
+            assert own["vec_id"].tolist() == [i for i in range(11) if i != q][:10]
+    assert len(got) == 2000 and found >= 0.9 * 10 * len(range(1300, 4000, 20))
+
+    tree = N.split_trees(frame.selectExpr("vec_id as id", "embedding as v", "vec_id div 1300 as leaf"), 60, 300, 30)
+    assert sorted(r["leaf"] for r in tree.select("leaf").collect()) == [1, 2, 3]
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [])]
