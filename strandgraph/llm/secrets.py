@@ -144,4 +144,41 @@ def op9_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_ownership_secrets": op9_ownership_secrets}
-SQL: dict[str, str] = {}
+#: Matches and the pieces between them give the places; a letter in either case is a class of two, as (?i) knows more than A-Z.
+_WORD = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_BEFORE, _VALUE, _RUN = rf"""(?:{_WORD})["'']?\x20*[:=]\x20*["'']?""", "[A-Za-z0-9+/_.=-]+", "[A-Za-z0-9+/_=-]+"
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, repository, '{kind}' AS kind, {place} AS place, {least} AS least, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS between FROM docs"
+    for kind, place, least, pattern in (("assign", 1, 8, _BEFORE + _VALUE), ("access", 2, 16, "AKIA[A-Z0-9]+"), ("hex", 3, 32, "[0-9a-f]+"), ("loose", 4, 20, _RUN))
+)
+SQL = {
+    "op9_ownership_secrets": rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS repository FROM documents),
+found AS ({_FOUND}),
+each AS (
+  SELECT r, repository, kind, place, least, hits[i] AS hit, CASE WHEN kind = 'assign' THEN regexp_extract(hits[i], '{_BEFORE}({_VALUE})', 1) ELSE hits[i] END AS v,
+    coalesce(list_sum(list_transform(between[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)),
+spans AS (
+  SELECT r, repository, kind, place, v, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM each
+  WHERE length(v) >= least AND (kind <> 'loose' OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]'))),
+letters AS (SELECT v, c, count(*) AS k FROM (SELECT v, unnest(string_split(v, '')) AS c FROM (SELECT DISTINCT v FROM spans)) GROUP BY v, c),
+bits AS (SELECT v, -sum(k / length(v) * log2(k / length(v))) AS bits FROM letters GROUP BY v),
+owned AS (SELECT v, count(DISTINCT split_part(repository, '/', 1)) AS owners FROM spans GROUP BY v),
+judged AS (
+  SELECT spans.*, CASE WHEN owners > {MOST_OWNERS} THEN 'example' WHEN bits >= {LEAST_BITS} THEN 'live' ELSE 'weak' END AS class
+  FROM spans JOIN owned USING (v) JOIN bits USING (v)),
+shown AS (
+  SELECT r, kind, place, s, e FROM judged WHERE kind <> 'loose'
+  UNION ALL SELECT DISTINCT r, 'live', 4, s, e FROM judged WHERE class = 'live'),
+lines AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) AS spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) FILTER (kind <> 'live') AS base,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
+  FROM shown GROUP BY r),
+counts AS (SELECT r, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'example') AS n_example FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN lines USING (r) LEFT JOIN counts USING (r)
+"""
+}
