@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, neighbours, packing, pii, secrets, sharding, toxicity, urlfilter
+from . import chat, decontaminate, infill, minhash, neighbours, packing, pii, repeats, secrets, sharding, toxicity, urlfilter, whitening
 
-MODULES = (decontaminate, toxicity, urlfilter, sharding, minhash, chat, packing, neighbours, secrets, pii)
+MODULES = (decontaminate, toxicity, urlfilter, sharding, minhash, chat, packing, neighbours, secrets, pii, infill, whitening, repeats)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
