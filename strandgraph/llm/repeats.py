@@ -35,12 +35,14 @@ from .common import MIX, Lookup, checkpoint, rolling, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed together; longer texts are cut into overlapping windows, whose runs end there.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 #: Runs that a task sorts together before it sends them on, and bytes of contested runs likewise.
-CHUNK_RUNS, CHUNK_BYTES = 400_000, 32 << 20
+CHUNK_RUNS, CHUNK_BYTES = 200_000, 16 << 20
 #: Documents whose grams are counted to rank frequent ones last, and the bytes read of these at most. A gram that FREQUENT of so many
 #: documents hold is frequent; with fewer documents, none may be.
 SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 4_000, 32 << 20, 20
+#: Slots that count the sample's grams first.
+SLOT_BITS = 24
 #: Bytes of text for one bucket, as far as the number of buckets allows.
 BUCKET_BYTES, BUCKET_BITS = 1 << 20, (10, 18)
 #: A missing id comes after all others.
@@ -140,16 +142,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, frequent: Lookup | None) -> Iter
 def frequent_grams(docs: DataFrame, rows: int) -> np.ndarray:
     """Hashes of the grams that FREQUENT documents of a bounded sample hold, sorted."""
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    grams, size = [], 0
+    texts, size = [], 0
     for (text,) in docs.where("text is not null").sample(share, 7).select("text").limit(2 * SAMPLE_ROWS).toLocalIterator():
-        codes = np.frombuffer(text.encode("utf-8", "surrogatepass")[: SAMPLE_BYTES - size], np.uint8)
-        size += len(codes)
-        grams.append(np.unique(hashed(codes.astype(np.uint64))))
+        texts.append(text.encode("utf-8", "surrogatepass")[: SAMPLE_BYTES - size])
+        size += len(texts[-1])
         if size >= SAMPLE_BYTES:
             break
-    if not grams:
-        return np.empty(0, np.uint64)
-    keys, count = np.unique(np.concatenate(grams), return_counts=True)
+    grams = lambda text: np.unique(hashed(np.frombuffer(text, np.uint8).astype(np.uint64)))
+    # Counts by a part of the hash bound the true ones from above; only grams that pass are counted by themselves.
+    slots, some = np.zeros(1 << SLOT_BITS, np.uint16), []
+    for text in texts:
+        slots[np.unique(grams(text) >> np.uint64(64 - SLOT_BITS))] += 1
+    for text in texts:
+        own = grams(text)
+        some.append(own[slots[own >> np.uint64(64 - SLOT_BITS)] >= FREQUENT])
+    keys, count = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.uint64), np.empty(0, int))
     return keys[count >= FREQUENT]
 
 
