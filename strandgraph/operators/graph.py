@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Rounds:
+    """Tables of a loop's rounds, each written to the shared folder and read again.
+
+    That cuts the lineage and tells the planner real sizes: its own estimates multiply at each join, over rounds to numbers too long to compute with. A name holds its
+    last table, the one before is deleted, so nothing that is still to run may read that.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.held = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", {}
+
+    def put(self, name: str, rows: DataFrame) -> DataFrame:
+        old, path = self.held.get(name), f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.held[name] = path
+        if old:
+            delete(self.spark, old)
+        kept = self.spark.read.schema(rows.schema).parquet(path)
+        return gathered(kept, kept.count())
+
+    def result(self, rows: DataFrame) -> DataFrame:
+        """rows cut from all tables, which go."""
+        out = cut(rows)
+        delete(self.spark, self.folder)
+        return out
+
+
 #: Rows of narrow columns (two or three ids) that one task takes in its stride.
 TASK_ROWS = 250_000
 
@@ -107,9 +140,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with their place from 0 in a total order: sorted by range, numbered within partitions, and shifted by the
     rows of the partitions before, of which there are few."""
     ordered = cut(rows.orderBy(*order).withColumn("__p", F.spark_partition_id()))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = ordered.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__shift", before).select("__p", "__shift")
+    shifts, shift = [], 0
+    for p, n in ordered.groupBy("__p").count().orderBy("__p").collect():
+        shifts.append((p, shift))
+        shift += n
     within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    shifts = rows.sparkSession.createDataFrame(shifts, "__p int, __shift long")
     return ordered.withColumn("__r", within).join(F.broadcast(shifts), "__p").withColumn(name, F.col("__shift") + F.col("__r") - 1).drop("__p", "__r", "__shift")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import Rounds
 from .pattern import pairs_within
 
 
@@ -12,26 +13,27 @@ def itemsets(members: DataFrame, basket: str, item: str, min_support: float, lon
     """items (ordered array), n of itemsets that at least min_support of all baskets hold.
 
     Level by level: each basket's frequent items are extended by its larger frequent items, and an
-    extension counts only if all its subsets one smaller are frequent. Candidates are few, so they go to every task.
+    extension counts only if all its subsets one smaller are frequent. Each level is written before the next reads it.
     """
-    rows = members.select(basket, item).distinct()
-    least = rows.select(basket).distinct().agg((F.count("*") * min_support).alias("least"))
-    keep = lambda counts: counts.crossJoin(F.broadcast(least)).where("n >= least").drop("least")
-    level = keep(rows.groupBy(F.array(item).alias("items")).agg(F.count("*").alias("n")))
+    rounds = Rounds(members.sparkSession)
+    rows = rounds.put("rows", members.select(basket, item).distinct())
+    least = min_support * rows.select(basket).distinct().count()
+    keep = lambda counts: counts.where(F.col("n") >= least)
+    level = rounds.put("level1", keep(rows.groupBy(F.array(item).alias("items")).agg(F.count("*").alias("n"))))
     out = level
-    own = rows.join(level.select(F.col("items")[0].alias(item)), item, "left_semi")
+    own = rounds.put("own", rows.join(level.select(F.col("items")[0].alias(item)), item, "left_semi"))
     held = own.select(basket, F.array(item).alias("items"))
     for size in range(2, longest + 1):
-        grown = held.join(own, basket).where(F.element_at("items", -1) < F.col(item)).select(basket, F.array_append("items", F.col(item)).alias("items"))
+        grown = rounds.put("grown", held.join(own, basket).where(F.element_at("items", -1) < F.col(item)).select(basket, F.array_append("items", F.col(item)).alias("items")))
         counts = keep(grown.groupBy("items").agg(F.count("*").alias("n")))
         if size > 2:
             subsets = counts.select("items", F.explode(F.transform(F.col("items"), lambda x: F.array_remove("items", x))).alias("sub"))
             known = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size)
             counts = counts.join(known.select("items"), "items", "left_semi")
-        level = counts
-        held = grown.join(level.select("items"), "items", "left_semi").select(basket, "items")
+        level = rounds.put(f"level{size}", counts)
+        held = rounds.put("held", grown.join(level.select("items"), "items", "left_semi").select(basket, "items"))
         out = out.union(level)
-    return out
+    return rounds.result(out)
 
 
 def rules(sets: DataFrame, n_baskets: int, min_confidence: float, min_lift: float = 1.0, consequents: int = 2) -> DataFrame:
@@ -53,8 +55,9 @@ def rules(sets: DataFrame, n_baskets: int, min_confidence: float, min_lift: floa
 
 
 def rule_order() -> list[Column]:
-    """The order of rules in a table: falling confidence and support (in percent, one digit) and lift (two digits) as they are shown there."""
-    return [F.desc(F.round(100 * F.col("confidence"), 1)), F.desc(F.round(100 * F.col("support"), 1)), F.desc(F.round("lift", 2)), F.asc("antecedent"), F.asc("consequent")]
+    """The order of rules in a table: falling confidence and support (in percent, one digit) and lift (two digits) as they are shown there, then the items."""
+    shown = lambda c, unit: F.desc(F.floor(F.col(c) * unit + 0.5))
+    return [shown("confidence", 1000), shown("support", 1000), shown("lift", 100), F.asc("antecedent"), F.asc("consequent")]
 
 
 def cooccurrence(members: DataFrame, basket: str, item: str, least: int = 1) -> DataFrame:

@@ -114,27 +114,3 @@ def filter_edges(edges: DataFrame, **equal: str | None) -> DataFrame:
         if value is not None:
             edges = edges.where(F.col(name) == value)
     return edges
-
-
-#: Items of a few words that are broadcast.
-SHORT_ITEMS = 10_000
-
-
-def quoted(items: DataFrame, texts: DataFrame, item_id: str, item: str, text_id: str, text: str) -> DataFrame:
-    """item_id, text_id of texts that hold an item verbatim.
-
-    An item's inner words are whole words wherever it is quoted, so ids of texts and items meet by words 2 to 5
-    of the item, and only such pairs are compared in full. Items of under six words have no such
-    key and are compared with every text; up to SHORT_ITEMS of them are broadcast. Texts without an id are left out.
-    """
-    words = lambda c: F.split(F.col(c), r"\s+")
-    own = items.select(F.col(item_id).alias("item_id"), F.col(item).alias("item"), words(item).alias("w")).where("item is not null and item <> ''")
-    keyed = own.where("size(w) >= 6").select("item_id", "item", F.concat_ws(" ", F.slice("w", 2, 4)).alias("key"))
-    held = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")).where("text is not null")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.concat_ws(" ", F.slice("w", i, 4)))
-    places = held.withColumn("w", words("text")).where("size(w) >= 4").select("text_id", F.explode(F.array_distinct(grams)).alias("key"))
-    pairs = places.join(keyed.select("item_id", "key"), "key").select("item_id", "text_id").distinct()
-    long = pairs.join(keyed.select("item_id", "item"), "item_id").join(held, "text_id")
-    few = own.where("size(w) < 6").select("item_id", "item")
-    short = held.join(F.broadcast(few) if few.count() <= SHORT_ITEMS else few, F.col("text").contains(F.col("item"))).where("text_id is not null")
-    return long.where(F.col("text").contains(F.col("item"))).select("item_id", "text_id").union(short.select("item_id", "text_id")).distinct()

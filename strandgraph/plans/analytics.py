@@ -84,7 +84,7 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 SELECT p_brand AS brand, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, quantile_cont(l_quantity, 0.5) AS median, min(l_quantity) AS least, max(l_quantity) AS most
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    return quantities(spark, d).groupBy("brand").agg(*S.summary("l_quantity"))
+    return S.summary(quantities(spark, d), ["brand"], "l_quantity")
 
 
 def quantities(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
 @query("a16_box", """
 SELECT p_type AS type, quantile_cont(l_quantity, [0.05, 0.25, 0.5, 0.75, 0.95]) AS box FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0 GROUP BY 1""")
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    return quantities(spark, d).where("l_quantity > 0").groupBy(F.col("p_type").alias("type")).agg(S.box("l_quantity").alias("box"))
+    return S.box(quantities(spark, d).where("l_quantity > 0").withColumnRenamed("p_type", "type"), ["type"], "l_quantity")
 
 
 @query("a17_threshold_shares", """
@@ -196,7 +196,9 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
 SELECT lang, count(*) AS passages, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest, quantile_cont(length(text), 0.5) AS median FROM documents GROUP BY lang""")
 def a35(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text").cast("long")
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("passages"), F.sum(n).alias("chars"), F.max(n).alias("longest"), F.percentile(n, F.lit(0.5)).alias("median"))
+    rows = table(spark, d, "documents").select("lang", n.alias("n"))
+    median = S.quantiles(rows, ["lang"], "n", {"median": 0.5}).select("lang", "median")
+    return rows.groupBy("lang").agg(F.count("*").alias("passages"), F.sum("n").alias("chars"), F.max("n").alias("longest")).join(median, "lang")
 
 
 @query("a36_extremes", """
@@ -395,14 +397,16 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
 @query("g14_rules", f"""
 WITH {BASKETS}, t AS (SELECT count(DISTINCT basket) AS n FROM b), s1 AS (SELECT item, count(*) AS n FROM b GROUP BY 1),
 s2 AS (SELECT x.item AS i, y.item AS j, count(*) AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT n FROM t)),
-r AS (SELECT i AS a, j AS c, n FROM s2 UNION ALL SELECT j, i, n FROM s2)
-SELECT [a] AS antecedent, [c] AS consequent, r.n, round(r.n / t.n::DOUBLE, 9) AS support, round(r.n / x.n::DOUBLE, 9) AS confidence, round((r.n / x.n::DOUBLE) / (y.n / t.n::DOUBLE), 9) AS lift
-FROM r JOIN s1 x ON x.item = a JOIN s1 y ON y.item = c, t WHERE r.n / x.n::DOUBLE >= 0.1 AND (r.n / x.n::DOUBLE) / (y.n / t.n::DOUBLE) > 1""")
+r AS (SELECT i AS a, j AS c, n FROM s2 UNION ALL SELECT j, i, n FROM s2),
+q AS (SELECT [a] AS antecedent, [c] AS consequent, r.n, r.n / t.n::DOUBLE AS support, r.n / x.n::DOUBLE AS confidence, (r.n / x.n::DOUBLE) / (y.n / t.n::DOUBLE) AS lift
+  FROM r JOIN s1 x ON x.item = a JOIN s1 y ON y.item = c, t WHERE r.n / x.n::DOUBLE >= 0.1 AND (r.n / x.n::DOUBLE) / (y.n / t.n::DOUBLE) > 1)
+SELECT row_number() OVER (ORDER BY floor(confidence * 1000 + 0.5) DESC, floor(support * 1000 + 0.5) DESC, floor(lift * 100 + 0.5) DESC, antecedent, consequent) AS place,
+  antecedent, consequent, n, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM q""")
 def g14(spark: SparkSession, d: str) -> DataFrame:
     rows = baskets(spark, d)
     n = rows.select("basket").distinct().count()
-    found = M.rules(M.itemsets(rows, "basket", "item", 0.02), n, 0.1)
-    return found.select("antecedent", "consequent", "n", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
+    found = G.numbered(M.rules(M.itemsets(rows, "basket", "item", 0.02), n, 0.1), M.rule_order(), "place")
+    return found.select((F.col("place") + 1).alias("place"), "antecedent", "consequent", "n", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
 
 
 @query("g15_jaccard", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import attr
 from ..operators import pattern as P
+from ..operators.phrases import quoted
 from ..operators.triples import statements, triples
 from ..sources.testdata import star_graph, table
 from .registry import query
@@ -241,7 +242,7 @@ WITH f AS (SELECT item_id, text, exists(SELECT 1 FROM documents d WHERE contains
 SELECT found, count(*) AS n, list_sort(list(item_id))[1:3] AS examples FROM f GROUP BY found""")
 def q26(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
-    hits = P.quoted(items, table(spark, d, "documents"), "item_id", "text", "doc_id", "text").select("item_id").distinct()
+    hits = quoted(items, table(spark, d, "documents"), "item_id", "text", "doc_id", "text").select("item_id").distinct()
     found = items.join(hits.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
     return found.groupBy("found").agg(F.count("*").alias("n"), P.first_items("item_id", 3).alias("examples"))
 

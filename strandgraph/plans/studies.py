@@ -11,6 +11,7 @@ from ..operators import cohort as C
 from ..operators import mining as M
 from ..operators import pattern as P
 from ..operators import stats as S
+from ..operators.phrases import quoted
 from ..sources.testdata import star_graph, table
 from .analytics import BASKETS, VIEWS, baskets, quantities
 from .registry import query
@@ -76,7 +77,7 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
 @query("g23_quotes_verified", """
 SELECT item_id AS item, doc_id AS passage FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def g23(spark: SparkSession, d: str) -> DataFrame:
-    return P.quoted(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text").select(F.col("item_id").alias("item"), F.col("text_id").alias("passage"))
+    return quoted(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text").select(F.col("item_id").alias("item"), F.col("text_id").alias("passage"))
 
 
 @query("g24_triage", """

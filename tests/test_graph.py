@@ -95,12 +95,6 @@ def test_patterns(graph):
     assert P.filter_edges(graph.edges, type="s", layer=None).count() == 3
 
 
-def test_quoted(spark):
-    items = spark.createDataFrame([(1, "ut one two three four five six x"), (2, "short one"), (3, "never ever said by any one at all"), (4, None)], "i int, t string")
-    texts = spark.createDataFrame([(1, "about one two three four five six xyz"), (2, "a short one"), (3, None), (4, "")], "d int, t string")
-    assert {tuple(r) for r in P.quoted(items, texts, "i", "t", "d", "t").collect()} == {(1, 1), (2, 2)}
-
-
 def test_preview_and_modularity(spark, graph):
     small = G.preview(graph, {"B": 1}, default=2, k=3)
     assert small.nodes.count() == 3
