@@ -4,7 +4,7 @@ An item of m characters that occurs with at most k edits shares at least
 m - q + 1 - k*q of its q-grams with the place where it occurs, all of them on
 diagonals that lie within k of one another. So: count shared q-grams in overlapping
 bands of diagonals, keep the bands that reach the item's bound, and verify each by
-banded alignment. q is 8, or less for items so short that their bound would fall under 1;
+banded alignment. q is 8, or the length over one more than the edits, rounded down, where that is less: the bound is 1 or more then;
 items of under 8 characters have no edits to spend and are looked for as they are.
 
 Both sides are compared as lower-case letters and digits, with one space for each
@@ -42,7 +42,7 @@ def item_blocks(items: list[tuple[object, str]], q: int, error_rate: float, min_
         codes = trimmed(text)
         edits = int(len(codes) * error_rate)
         if len(codes) >= max(1, min_chars):
-            by_q.setdefault(min(q, (len(codes) + 1) // (edits + 1), len(codes)), []).append((item_id, codes, edits))
+            by_q.setdefault(min(q, len(codes) // (edits + 1)), []).append((item_id, codes, edits))
     return [ItemBlock(own, size) for size, own in sorted(by_q.items())]
 
 

@@ -36,8 +36,10 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-ADDRESS = re.compile(r"\b[\w.+-]{1,40} ?[(\[](?:at|AT)[)\]] ?[\w-]{1,40}(?: ?[(\[](?:dot|DOT)[)\]] ?[\w-]{1,20})+")
-NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [^\W\d_]\w{1,20}(?: [A-ZÀ-Þ]\w{1,20})?")
+#: Runs of any length, each tried from its begin only and never given back, so the time is linear in the text.
+ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]++ ?[(\[](?:at|AT)[)\]] ?[\w-]++(?: ?[(\[](?:dot|DOT)[)\]] ?[\w-]++)++")
+NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [^\W\d_]\w++(?: [A-ZÀ-Þ]\w++)?")
+
 
 class Gazetteers(NamedTuple):
     """Lists that labelers look spans up in; others may be given in their place."""

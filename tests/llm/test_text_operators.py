@@ -471,3 +471,29 @@ def test_live_spans_against_brute_force(spark):
         live = {(s, e) for s, e, _, v in S.base_spans(text or "") + S.loose_spans(text or "") if len(uses[v]) <= S.MOST_OWNERS and S.entropy(v) >= S.LEAST_BITS}
         want.append((i, sorted(live)))
     assert sorted((r["doc_id"], sorted((x["start"], x["end"]) for x in r["extra"])) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("m", range(8, 61))
+def test_edits_where_they_break_most_grams(m):
+    item = "".join("abcdefghijklmnopqrstuvwxy"[(7 * i * i + 3 * i + m) % 25] for i in range(m))
+    edits = int(m * D.ERROR_RATE)
+    blocks = D.item_blocks([(1, item)], D.Q, D.ERROR_RATE, D.MIN_CHARS)
+    assert all((b.least >= 1).all() for b in blocks)
+    for step in range(1, D.Q + 2):  # substitutions a step apart, from each first place
+        for first in range(step):
+            text = list(item)
+            for place in [first + k * step for k in range(edits)]:
+                if place < m:
+                    text[place] = "z"
+            got = D.matches_in([f"0000 {''.join(text)} 1111"], blocks)
+            assert [g[:2] for g in got] == [(0, 1)] and got[0][4] <= edits
+
+
+def test_spelled_out_addresses_and_names_of_any_length(spark):
+    local, host, name = "a" * 5000, "h" * 3000, "N" + "x" * 4000
+    text = f"write to {local} (at) {host} (dot) {'c' * 200} now, Dr {name} {name}."
+    spans = [text[s:e] for s, e, k in I.found_in(text) if k in ("address", "name")]
+    assert spans == [f"{local} (at) {host} (dot) {'c' * 200}", f"Dr {name} {name}"]
+    began = time.perf_counter()
+    assert I.found_in("a." * 300_000 + "(at) " + "a-" * 300_000 + "Dr1" * 100_000) == []
+    assert time.perf_counter() - began < 10
