@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from ..operators.graph import cut
+
 # The patterns of headers, dates, numbers and ages. (?U): Unicode digits and spaces.
 CJK = "一-龥"
 _Y, _M, _D = r"((?:19|20)\d{2})", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
@@ -141,6 +143,27 @@ def string_leaves(records: DataFrame, skip: tuple[str, ...] = ID_FIELDS) -> Colu
     return F.concat(none, *[F.coalesce(leaves(F.col(f"`{f.name}`"), f.dataType), none) for f in records.schema if f.name not in skip])
 
 
+def json_leaves(rows: DataFrame, id_col: str, json_col: str, skip: tuple[str, ...] = ID_FIELDS) -> DataFrame:
+    """id, path, text: the non-empty strings at any depth of JSON texts whose fields may differ by row, fields of ids left out.
+
+    Each round opens the objects and arrays of one level, so there are as many rounds as levels. Null texts and texts that aren't
+    JSON have none; a text that is one string is its own leaf. A repeated row gives its leaves again.
+    """
+    spark = rows.sparkSession
+    now = cut(rows.select(F.col(id_col), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null"))
+    out = None
+    while True:
+        kind = F.schema_of_variant("v")
+        found = now.where(kind == "STRING").select(id_col, "path", F.col("v").cast("string").alias("text")).where("text <> ''")
+        out = found if out is None else out.union(found)
+        inner = now.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        path = F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
+        now = cut(opened.where(F.col("key").isNull() | ~F.col("key").isin(*skip)).select(id_col, path.alias("path"), F.col("value").alias("v")))
+        if now.isEmpty():
+            return out
+
+
 class PrivacyError(Exception):
     """Outputs that still hold personal data."""
 

@@ -21,7 +21,7 @@ def triples(graph: Graph, lang: str = "en", types: tuple[str, ...] = (), classes
     text = lambda p, o: F.struct(p.alias("p"), o.alias("o"), F.lit("literal").alias("kind"), F.lit(lang).alias("lang"))
     facts = F.concat(
         F.array(iri("a", F.col("cls")), text(F.lit("name"), F.col("name"))),
-        F.transform(F.map_entries("attrs"), lambda e: text(e["key"], e["value"])),
+        F.transform(F.map_entries(F.coalesce("attrs", F.expr("cast(map() as map<string,string>)"))), lambda e: text(e["key"], e["value"])),
     )
     own = nodes.select(F.col("id").alias("s"), F.explode(facts).alias("f")).select("s", "f.*").where("o is not null")
     links = edges.select(F.col("subject_id").alias("s"), F.col("type").alias("p"), F.col("object_id").alias("o")).distinct()

@@ -6,10 +6,10 @@ import os
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.privacy import privacy_gate, require_clean, string_leaves
+from ..functions.privacy import json_leaves, privacy_gate, require_clean, string_leaves
 from ..model import Graph, filled
 from ..operators.triples import literal, statements, triples, turtle_lines
 
@@ -72,14 +72,24 @@ def write_table(rows: DataFrame, path: str, order: list[str]) -> None:
     first.union(numbered).coalesce(1).sortWithinPartitions("r").select("value").write.mode("overwrite").text(path)
 
 
-def private_export(records: DataFrame, names: DataFrame, path: str, public: str, id_col: str = "id") -> None:
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme and authority, links of local folders followed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file:" + os.path.realpath(re.sub("^file:/*", "/", whole)) if whole.startswith("file:") else whole
+
+
+def private_export(records: DataFrame, names: DataFrame, path: str, public: str, id_col: str = "id", json_col: str | None = None) -> None:
     """Writes records that must not be published as JSON: never into the public folder, and only if no string of theirs,
-    at any depth, holds personal data."""
-    inside = os.path.realpath(path.removeprefix("file://"))
-    if os.path.commonpath([inside, os.path.realpath(public.removeprefix("file://"))]) == os.path.realpath(public.removeprefix("file://")):
+    at any depth, holds personal data. json_col: a column of JSON texts, whose strings count, too."""
+    spark = records.sparkSession
+    inside, outside = qualified(spark, path), qualified(spark, public)
+    if f"{inside}/".startswith(f"{outside.rstrip('/')}/"):
         raise ValueError(f"{path} lies in the public folder {public}")
-    texts = records.select(F.col(id_col), F.explode(string_leaves(records)).alias("text"), F.lit(True).alias("strict"))
-    require_clean(privacy_gate(texts, names, id_col, "text", "strict"))
+    texts = records.select(F.col(id_col), F.explode(string_leaves(records.drop(json_col) if json_col else records)).alias("text"))
+    if json_col:
+        texts = texts.union(json_leaves(records, id_col, json_col).select(id_col, "text"))
+    require_clean(privacy_gate(texts.withColumn("strict", F.lit(True)), names, id_col, "text", "strict"))
     records.write.mode("overwrite").json(path)
 
 

@@ -1,5 +1,5 @@
 import pytest
-from strandgraph.plans import analytics, catalogue, derivations, networks, registry, studies  # noqa: F401
+from strandgraph.plans import analytics, catalogue, deliveries, derivations, networks, registry, studies  # noqa: F401
 
 from .oracle import connection, spark_rows, sql_rows
 
