@@ -41,3 +41,8 @@ def attr(name: str, attrs: str = "attrs") -> Column:
 def filled(c: Column) -> Column:
     """The text, null if it is empty: what a coalesce over possibly empty fields needs."""
     return F.nullif(c, F.lit(""))
+
+
+def first_filled(*chain: Column) -> Column:
+    """The first text of a chain that is neither null nor empty, else empty."""
+    return F.coalesce(*map(filled, chain), F.lit(""))

@@ -102,6 +102,12 @@ def read_passages(spark: SparkSession, paths: list[str]) -> DataFrame:
     return last.select("pid", "p.source", "p.text", F.length("p.text").alias("n_chars"))
 
 
+def read_source(spark: SparkSession, path: str, source: str, pids: DataFrame | None = None) -> DataFrame:
+    """pid, source, text, n_chars of one source of a corpus that write_corpus wrote, from that source's files alone; pids (pid): only those."""
+    rows = spark.read.schema("pid string, text string, n_chars int, source string").parquet(path).where(F.col("source") == source).select("pid", "source", "text", "n_chars")
+    return rows if pids is None else rows.join(pids.select("pid").distinct(), "pid", "left_semi")
+
+
 def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cls, attrs, modalities) and (type, domain, range, card, qualifier) of a document {classes: {...}, object_properties: {...}}."""
     doc = spark.read.schema(

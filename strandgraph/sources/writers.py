@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.privacy import json_leaves, privacy_gate, require_clean, string_leaves
-from ..model import Graph, filled
+from ..model import Graph, first_filled
 from ..operators.triples import literal, statements, triples, turtle_lines
 
 EDGE_COLUMNS = "corpus source_sentence chapter_path passage_id engine agreement dose dose_note role condition".split()
@@ -26,7 +26,7 @@ def observed_attributes(nodes: DataFrame, ontology: DataFrame | None = None) ->
 
 def from_first(name: str) -> Column:
     """The edge's own field, else its first provenance record's, else empty."""
-    return F.coalesce(filled(F.col(name)), filled(F.get("provenance", 0)[name]), F.lit(""))
+    return first_filled(F.col(name), F.get("provenance", 0)[name])
 
 
 def flag(c: Column) -> Column:
@@ -133,17 +133,77 @@ def write_turtle(graph: Graph, path: str, qualifiers: tuple[str, ...] = (), lang
 
 
 def ontology_lines(classes: DataFrame, relations: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """value: Turtle of classes and relations; relations whose cardinality ends in ..1 are functional unless a subject breaks that."""
+    """value: Turtle of classes and relations. Relations whose cardinality ends in ..1 are functional unless subjects break that
+    (exceptions: type, by_objects), whose number a comment states then; cardinality and qualifiers (if relations have any) are annotations."""
     iri = lambda c: F.concat(F.lit(":"), c)
-    of_class = classes.select(F.concat(iri(F.col("cls")), F.lit(' a owl:Class ; rdfs:label "'), literal(F.coalesce("zh", "cls")), F.lit('"@zh .')).alias("value"))
-    broken = exceptions.select("type").distinct().withColumn("broken", F.lit(True))
-    kind = F.when(F.col("card").endswith("..1") & F.col("broken").isNull(), "owl:ObjectProperty, owl:FunctionalProperty").otherwise("owl:ObjectProperty")
+    text = lambda c, lang="": F.concat(F.lit('"'), literal(c), F.lit('"' + lang))
+    label = lambda row, name: F.concat(F.lit(" ; rdfs:label "), text(F.col(name), "@en"), F.coalesce(F.concat(F.lit(", "), text(F.col("zh"), "@zh")), F.lit(""))) if "zh" in row.columns else F.concat(F.lit(" ; rdfs:label "), text(F.col(name), "@en"))
+    of_class = classes.select(F.concat(iri(F.col("cls")), F.lit(" a owl:Class"), label(classes, "cls"), F.lit(" .")).alias("value"))
+    number = F.col("by_objects") if "by_objects" in exceptions.columns else F.lit(None).cast("long")
+    broken = exceptions.groupBy("type").agg(F.lit(True).alias("broken"), F.sum(number).alias("subjects"))
+    single = F.col("card").endswith("..1")
+    kind = F.when(single & F.col("broken").isNull(), "owl:ObjectProperty, owl:FunctionalProperty").otherwise("owl:ObjectProperty")
+    said = F.concat(F.lit("declared "), F.col("card"), F.lit(", but "), F.coalesce(F.col("subjects").cast("string"), F.lit("some")), F.lit(" subjects have several objects"))
+    comment = F.when(single & F.col("broken").isNotNull(), F.concat(F.lit(" ; rdfs:comment "), text(said, "@en"))).otherwise("")
+    qualifier = F.when(F.size("qualifier") > 0, F.concat(F.lit(" ; :qualifier "), text(F.array_join("qualifier", " / ")))).otherwise("") if "qualifier" in relations.columns else F.lit("")
     of_type = relations.join(F.broadcast(broken), "type", "left").select(
-        F.concat(iri(F.col("type")), F.lit(" a "), kind, F.lit(" ; rdfs:domain "), iri(F.col("domain")), F.lit(" ; rdfs:range "), iri(F.col("range")), F.lit(" .")).alias("value")
+        F.concat(
+            iri(F.col("type")), F.lit(" a "), kind, label(relations, "type"), F.lit(" ; rdfs:domain "), iri(F.col("domain")), F.lit(" ; rdfs:range "), iri(F.col("range")),
+            F.lit(" ; :cardinality "), text(F.col("card")), comment, qualifier, F.lit(" ."),
+        ).alias("value")
     )
     return of_class.union(of_type)
 
 
+def attribute_lines(classes: DataFrame) -> DataFrame:
+    """value: Turtle of attributes, of classes (cls, attrs, undeclared_attrs): their domain is the class, or the union of the classes in order, that has them; one
+    that no class declares says so."""
+    none = F.array().cast("array<string>")
+    told = lambda c, d: F.transform(F.coalesce(c, none), lambda a: F.struct(a.alias("attr"), F.lit(d).alias("declared")))
+    both = F.concat(told("attrs", True), told("undeclared_attrs", False))
+    each = classes.select("cls", F.explode(both).alias("a")).select("cls", "a.*")
+    named = each.groupBy("attr").agg(F.sort_array(F.collect_set(F.concat(F.lit(":"), "cls"))).alias("of"), F.bool_or("declared").alias("declared"))
+    domain = F.when(F.size("of") == 1, F.col("of")[0]).otherwise(F.concat(F.lit("[ a owl:Class ; owl:unionOf ( "), F.array_join("of", " "), F.lit(" ) ]")))
+    comment = F.when(F.col("declared"), "").otherwise(' ; rdfs:comment "in use, but not declared"@en')
+    return named.select(F.concat(F.lit(":"), "attr", F.lit(' a owl:DatatypeProperty ; rdfs:label "'), literal(F.col("attr")), F.lit('"@en ; rdfs:domain '), domain, comment, F.lit(" ; rdfs:range xsd:string .")).alias("value"))
+
+
+def annotation_lines(annotations: DataFrame) -> DataFrame:
+    """value: Turtle of annotation properties (name, zh, comment)."""
+    text = lambda c, lang: F.concat(F.lit('"'), literal(F.col(c)), F.lit(f'"@{lang}'))
+    return annotations.select(F.concat(F.lit(":"), "name", F.lit(" a owl:AnnotationProperty ; rdfs:label "), text("name", "en"), F.lit(", "), text("zh", "zh"), F.lit(" ; rdfs:comment "), text("comment", "en"), F.lit(" .")).alias("value"))
+
+
+#: What an ontology file begins with.
+PREFIXES = "@prefix : <{base}> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> ."
+
+
+def write_ontology(lines: list[DataFrame], path: str, base: str = "urn:strandgraph:") -> None:
+    """One Turtle file of ontology lines, prefixes first."""
+    spark = lines[0].sparkSession
+    out = spark.createDataFrame([(0, PREFIXES.format(base=base))], "part int, value string")
+    for i, rows in enumerate(lines):
+        out = out.union(rows.select(F.lit(i + 1), "value"))
+    out.coalesce(1).sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
+
+
+def qc_document(audit: DataFrame) -> DataFrame:
+    """value: one JSON document {metric: {key: value}} of audit rows (metric, key, value), metrics and keys in order."""
+    of = audit.groupBy("metric").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("key", F.lit("")), "value")))).alias("m"))
+    return of.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.to_json("m").alias("j"))))).alias("d")).select(
+        F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("d"), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"^\[(.*)\]$", 1), F.lit(":"), e["value"])), ","), F.lit("}")).alias("value")
+    )
+
+
+def write_qc(audit: DataFrame, path: str) -> None:
+    qc_document(audit).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_corpus(passages: DataFrame, path: str) -> None:
+    """Parquet in a folder for each source: readers.read_source reads the one's files only."""
+    passages.write.mode("overwrite").partitionBy("source").parquet(path)
+
+
 def publish(gate: DataFrame, writes: list[Callable[[], None]]) -> None:
     """Runs the writes only if the gate holds no problem."""
     require_clean(gate)
