@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.privacy import RECORD
 from ..model import Graph
 from ..operators import graph as G
 from ..operators import mining as M
 from ..operators import pattern as P
 from ..operators import quality as Q
 from ..operators import stats as S
-from ..sources.testdata import edges_sql, nodes_sql, ontology_sql, star_graph, star_ontology, table
+from ..sources.readers import script_of
+from ..sources.testdata import edges_sql, node_id, nodes_sql, ontology_sql, star_graph, star_ontology, table
 from .registry import query
 
 VIEWS = f"e AS ({edges_sql()}), n AS ({nodes_sql()}), ont(type, domain, range, card) AS ({ontology_sql()})"
@@ -24,18 +26,15 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("basket")).join(parts, "l_partkey").select("basket", "item").distinct()
 
 
-def sparse(spark: SparkSession, d: str) -> Graph:
-    """Orders and parts joined by returned lines of large quantity: many small components."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
-    o, p = F.concat(F.lit("order:"), "l_orderkey"), F.concat(F.lit("part:"), "l_partkey")
-    edges = lines.select(F.lit("large").alias("type"), o.alias("subject_id"), p.alias("object_id"))
-    nodes = edges.select(F.col("subject_id").alias("id"), F.lit("order").alias("cls")).union(edges.select("object_id", F.lit("part"))).distinct()
-    return Graph(nodes.withColumn("name", F.col("id")), edges)
+def purchases(spark: SparkSession, d: str) -> Graph:
+    """All customers and orders, joined by who ordered: a component for each customer, those without orders alone."""
+    graph = star_graph(spark, d)
+    return Graph(graph.of("customer", "order"), graph.typed("orderByCustomer"))
 
 
-SPARSE = """l AS (SELECT DISTINCT 'order:' || l_orderkey AS a, 'part:' || l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'),
-u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b),
-m AS (SELECT id, min(root) AS root FROM r GROUP BY id), s AS (SELECT root, count(*) AS size FROM m GROUP BY root)"""
+PURCHASES = """m AS (SELECT 'customer:' || c_custkey AS id, 'customer:' || c_custkey AS root FROM customer
+  UNION ALL SELECT 'order:' || o_orderkey, CASE WHEN c_custkey IS NULL THEN 'order:' || o_orderkey ELSE 'customer:' || c_custkey END FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT root, count(*) AS size FROM m GROUP BY root)"""
 
 
 @query("a01_node_counts", f"WITH {VIEWS} SELECT cls, count(*) AS n FROM n GROUP BY cls")
@@ -161,9 +160,9 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
     return S.ccdf(P.degree(star_graph(spark, d).edges), "degree")
 
 
-@query("a28_component_sizes", f"WITH RECURSIVE {SPARSE} SELECT size, count(*) AS n FROM s GROUP BY size")
+@query("a28_component_sizes", f"WITH {PURCHASES} SELECT size, count(*) AS n FROM s GROUP BY size")
 def a28(spark: SparkSession, d: str) -> DataFrame:
-    members = G.components(sparse(spark, d))
+    members = G.components(purchases(spark, d))
     return members.select("component", "size").distinct().groupBy("size").agg(F.count("*").alias("n"))
 
 
@@ -324,36 +323,37 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
 @query("j15_endpoint_or_flag", """
 SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) OR c_acctbal > 9900""")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    large = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(True))
-    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal").join(large, "c_custkey", "left")
-    return rows.where(F.coalesce("hit", F.lit(False)) | (F.col("c_acctbal") > 9900)).select(F.col("c_custkey").alias("id"))
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 400000")
+    told = F.array(F.struct(F.when(F.col("c_acctbal") > 9900, "own / account").otherwise("other / account").alias("chapter_path")))
+    edges = orders.select(node_id("order", "o_orderkey").alias("subject_id"), node_id("customer", "o_custkey").alias("object_id"), F.lit("own").alias("corpus"))
+    nodes = customers.select(node_id("customer", "c_custkey").alias("id"), "c_custkey", told.alias("provenance"))
+    return G.edition(Graph(nodes, edges), ["own"]).nodes.select(F.col("c_custkey").alias("id"))
 
 
 @query("j18_lookup_with_self_default", """
 SELECT p_partkey AS part, coalesce(std, p_brand) AS brand FROM part LEFT JOIN (VALUES ('Brand#1', 'Brand#01'), ('Brand#2', 'Brand#02')) m(raw, std) ON raw = p_brand""")
 def j18(spark: SparkSession, d: str) -> DataFrame:
-    std = spark.createDataFrame([("Brand#1", "Brand#01"), ("Brand#2", "Brand#02")], "p_brand string, std string")
-    return table(spark, d, "part").select("p_partkey", "p_brand").join(F.broadcast(std), "p_brand", "left").select(F.col("p_partkey").alias("part"), F.coalesce("std", "p_brand").alias("brand"))
+    brand = X.mapped(F.col("p_brand"), {"Brand#1": "Brand#01", "Brand#2": "Brand#02"})
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part"), brand.alias("brand"))
 
 
 @query("j20_grid_with_zero_cells", """
 SELECT p_type AS type, size, count(p_partkey) AS n FROM (SELECT DISTINCT p_type AS t FROM part) CROSS JOIN (SELECT unnest(range(0, 52)) AS size) LEFT JOIN part ON p_type = t AND p_size = size GROUP BY t, p_type, size HAVING t IS NOT NULL AND p_type IS NOT NULL
 UNION ALL SELECT t, size, 0 FROM (SELECT DISTINCT p_type AS t FROM part) CROSS JOIN (SELECT unnest(range(0, 52)) AS size) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_type = t AND p_size = size)""")
 def j20(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part")
-    cells = parts.groupBy(F.col("p_type").alias("type"), F.col("p_size").cast("long").alias("size")).agg(F.count("*").alias("n"))
-    grid = parts.select(F.col("p_type").alias("type")).distinct().crossJoin(spark.range(52).toDF("size"))
-    return grid.join(cells, ["type", "size"], "left").select("type", "size", F.coalesce("n", F.lit(0)).alias("n"))
+    members = table(spark, d, "part").select(F.col("p_partkey").alias("unit"), F.col("p_type").alias("type"), F.col("p_size").cast("long").alias("size"))
+    sizes = spark.range(52).select((-F.col("id") - 1).alias("unit"), F.lit(None).cast("string").alias("type"), F.col("id").alias("size"))
+    return S.contingency(members.union(sizes), "type", "size", "unit").select("type", "size", F.col("a").alias("n"))
 
 
-@query("g01_components", f"WITH RECURSIVE {SPARSE}, k AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) - 1 AS component FROM s) SELECT id, component, size FROM m JOIN k USING (root)")
+@query("g01_components", f"WITH {PURCHASES}, k AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) - 1 AS component FROM s) SELECT id, component, size FROM m JOIN k USING (root)")
 def g01(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(sparse(spark, d))
+    return G.components(purchases(spark, d))
 
 
-@query("g02_topology", f"""WITH RECURSIVE {SPARSE} SELECT sum(size)::BIGINT AS nodes, count(*) AS components, max(size) AS largest, count(*) FILTER (size > 1) - 1 AS satellites, count(*) FILTER (size = 1) AS isolates, round(100.0 * sum(size) FILTER (size > 1) / sum(size), 1) AS connected FROM s""")
+@query("g02_topology", f"""WITH {PURCHASES} SELECT sum(size)::BIGINT AS nodes, count(*) AS components, max(size) AS largest, count(*) FILTER (size > 1) - 1 AS satellites, count(*) FILTER (size = 1) AS isolates, round(100.0 * sum(size) FILTER (size > 1) / sum(size), 1) AS connected FROM s""")
 def g02(spark: SparkSession, d: str) -> DataFrame:
-    return G.topology(G.components(sparse(spark, d)))
+    return G.topology(G.components(purchases(spark, d)))
 
 
 @query("g03_edition_subgraph", f"""
@@ -430,7 +430,7 @@ def g26(spark: SparkSession, d: str) -> DataFrame:
 @query("d05_record_numbers", """
 SELECT doc_id, len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '[0-9]{7,8}'))) AS n FROM documents WHERE len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_full_match(x, '[0-9]{7,8}'))) > 0""")
 def d05(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?<![\d.])\d{7,8}(?![\d.])")).alias("n")).where("n > 0")
+    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(RECORD[0])).alias("n")).where("n > 0")
 
 
 @query("x05_text_window", """
@@ -463,7 +463,7 @@ def p01(spark: SparkSession, d: str) -> DataFrame:
 @query("s02_scripts_in_html", """
 SELECT page_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS script FROM pages""")
 def s02(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1), F.lit("")).alias("script"))
+    return table(spark, d, "pages").select("page_id", script_of(F.col("html")).alias("script"))
 
 
 @query("k04_triple_counts", f"""

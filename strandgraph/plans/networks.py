@@ -9,7 +9,6 @@ from ..operators import cluster as K
 from ..operators import mining as M
 from ..operators import network as N
 from ..operators.graph import cut
-from ..sources.testdata import table
 from .analytics import baskets
 from .registry import query
 
@@ -26,19 +25,13 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return N.numbered_communities(N.louvain(edges), item_frequency(rows)).withColumnRenamed("id", "item")
 
 
-@query("g12_betweenness", """
-WITH RECURSIVE l AS (SELECT 'order:' || l_orderkey AS a, 'part:' || l_partkey AS b, sum(l_linenumber)::DOUBLE AS w FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R' GROUP BY 1, 2),
-e AS (SELECT a, b, 1 / w AS far FROM l UNION ALL SELECT b, a, 1 / w FROM l),
-p(s, t, path, d) AS (SELECT a, b, [a, b], far FROM e UNION ALL SELECT s, e.b, list_append(path, e.b), d + far FROM p JOIN e ON e.a = t WHERE NOT list_contains(path, e.b)),
-best AS (SELECT s, t, min(d) AS least FROM p GROUP BY s, t), sp AS (SELECT s, t, path FROM p JOIN best USING (s, t) WHERE d <= least * (1 + 1e-12)), k AS (SELECT s, t, count(*) AS n FROM sp GROUP BY s, t),
-x AS (SELECT id, sum(1.0::DOUBLE / n) AS x FROM (SELECT s, t, unnest(path[2:len(path) - 1]) AS id FROM sp) JOIN k USING (s, t) GROUP BY id), n AS (SELECT DISTINCT a AS id FROM e)
-SELECT id, round(coalesce(x, 0.0), 6) AS passing FROM n LEFT JOIN x USING (id)""")
+@query("g12_betweenness")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 50 and l_returnflag = 'R'")
-    edges = lines.select(F.concat(F.lit("order:"), "l_orderkey").alias("a"), F.concat(F.lit("part:"), "l_partkey").alias("b"), F.col("l_linenumber").alias("w"))
-    found = N.betweenness(edges)
-    n = found.count()
-    return found.select("id", F.round(F.col("betweenness") * ((n - 1) * (n - 2)), 6).alias("passing"))
+    """Betweenness of all items in the network of 13 shared baskets or more, an edge being as long as its number is small."""
+    rows = baskets(spark, d)
+    edges = M.cooccurrence(rows, "basket", "item", 13).withColumnRenamed("n", "w")
+    found = N.betweenness(edges, rows.select("item").distinct().count())
+    return found.select(F.col("id").alias("item"), F.round("betweenness", 9).alias("betweenness"))
 
 
 def dendrogram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

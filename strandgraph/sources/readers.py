@@ -6,7 +6,7 @@ document that holds a whole graph is read by one task, as the format has it, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph, filled
@@ -31,10 +31,16 @@ def read_graph_lines(spark: SparkSession, nodes: str, edges: str) -> Graph:
     return Graph(spark.read.schema(NODE_SCHEMA).json(nodes), spark.read.schema(EDGE_SCHEMA).json(edges))
 
 
+def script_of(html: Column, kind: str | None = None) -> Column:
+    """The text of the first <script>, or of the first of a type; empty without one."""
+    of = "" if kind is None else rf"""\btype\s*=\s*["']?{kind}["']?[^>]*"""
+    return F.coalesce(F.regexp_extract(html, rf"(?is)<script[^>]*{of}>(.*?)</script>", 1), F.lit(""))
+
+
 def read_embedded_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The JSON of each file: the file itself, or its first <script type=application/json>."""
     texts = spark.read.text(path, wholetext=True)
-    inner = F.regexp_extract("value", r"""(?is)<script[^>]*\btype\s*=\s*["']?application/json["']?[^>]*>(.*?)</script>""", 1)
+    inner = script_of(F.col("value"), "application/json")
     return texts.select(F.from_json(F.coalesce(filled(inner), "value"), schema).alias("j")).select("j.*")
 
 

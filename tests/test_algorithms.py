@@ -323,6 +323,13 @@ def test_communities_of_items(spark, used):
                 assert modularity(edges, other) <= q + 1e-9
 
 
+def test_betweenness_of_items(spark, used):
+    edges = [(a, b, float(n)) for a, b in itertools.combinations(sorted(used), 2) if (n := len(used[a] & used[b])) >= 13]
+    want, n = brandes(edges), len(used)
+    got = {r["item"]: r["betweenness"] for r in registry.QUERIES["g12_betweenness"](spark, SF).collect()}
+    assert any(want.values()) and got == pytest.approx({k: v / ((n - 1) * (n - 2)) for k, v in want.items()}, abs=2e-9)
+
+
 def test_dendrogram_and_choice_of_items(spark, used):
     items = sorted(used)
     far = lambda i, j: 1 - len(used[i] & used[j]) / len(used[i] | used[j])

@@ -12,7 +12,7 @@ def con():
 
 
 #: Without a form in SQL; test_algorithms.py compares them with plain loops.
-BY_LOOPS = {"g10_communities", "g16_linkage", "g17_cluster_choice"}
+BY_LOOPS = {"g10_communities", "g12_betweenness", "g16_linkage", "g17_cluster_choice"}
 
 
 def test_every_query_has_sql():
