@@ -260,7 +260,10 @@ def public_tokenizer() -> str:
 
 
 def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizer())
+    """Pieces with their sequences, and beside them the certificate: the number of sequences, and the least that any packing needs."""
+    packed = packed_documents(table(spark, sf_dir, "documents"), public_tokenizer())
+    bins, least = certificate(packed)
+    return packed.withColumn("n_sequences", F.lit(bins).cast("long")).withColumn("least_sequences", F.lit(least).cast("long"))
 
 
 QUERIES = {"op7_certified_packing": op7_certified_packing}

@@ -497,3 +497,10 @@ def test_spelled_out_addresses_and_names_of_any_length(spark):
     began = time.perf_counter()
     assert I.found_in("a." * 300_000 + "(at) " + "a-" * 300_000 + "Dr1" * 100_000) == []
     assert time.perf_counter() - began < 10
+
+
+def test_the_packing_query_tells_its_certificate(spark):
+    rows = K.op7_certified_packing(spark, SF).select("sequence_id", "length", "n_sequences", "least_sequences").collect()
+    assert {r["n_sequences"] for r in rows} == {len({r["sequence_id"] for r in rows})}
+    assert {r["least_sequences"] for r in rows} == {K.bins_at_least(np.array([r["length"] for r in rows]), K.CAPACITY)}
+    assert rows[0]["least_sequences"] <= rows[0]["n_sequences"] <= rows[0]["least_sequences"] * 1.01 + 1
