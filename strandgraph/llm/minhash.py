@@ -11,17 +11,20 @@ Groups are never expanded into pairs. Equal sets collapse to one representative
 first. Within a bucket each member is compared with one hub, the member that meets the
 most others. Only where members then still lie in several components, those outside the
 bucket's largest component are compared with all others, inside tasks, which pass on
-links only. Each comparison is made in tiles of bounded size: a hub and a chunk of its
+links only. Buckets in which that would be more than MOST_PAIRS pairs are dealt anew by
+prefix filter instead: near sets share one of the rarest quarter of their shingles, so
+their members meet by these, and most of them with nobody. Each comparison is made in tiles of bounded size: a hub and a chunk of its
 members, or two chunks of a bucket; a task gets each signature or set once for all its
 tiles. Signatures are compared first, and sets are made and sent only of documents that
 have a partner whose signature is near. When this ends, each pair that shares a band has
-been compared or is connected already, so no link between components is lost, whatever the
-bucket's size.
+been compared, or is connected already, or can't be near by its sizes, prefixes or
+signatures, so no link between components is lost, whatever the bucket's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,10 @@ PERCENT = 75
 CHUNK, GROUP_BYTES = 256, 12 << 20
 #: Pairs whose signatures agree less aren't compared in full: at similarity 0.75 that is 8 deviations away.
 LEAST_AGREEMENT = 0.75 - 8 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
+#: Pairs of members of one bucket, in different components, up to which they are compared by signatures; beyond, they meet by prefix first.
+MOST_PAIRS = 1 << 24
+#: Slots in which shingles are counted to order them by rarity: one number each, on the driver and in tasks. Any order is right, rare first is fast.
+SLOTS = 1 << 18
 #: Ids are broadcast up to so many, if they have no more bytes than that in all; more are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Memory bound of the word-hash cache of a task; when full it starts anew.
@@ -176,9 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = checkpoint(connected_components(links, "a", "b"))
     component = gathered(component, component.count())
     place = reps.select("s1", "s2", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("s1", "s2", "c")
-    rest = _pending(starred, component)
+    rest = _pending(starred.where("n > 2"), component)
     if not rest.isEmpty():
-        further = checkpoint(connected_components(_links_within(rest, signs, rows), "a", "b")).toDF("c", "component")
+        pairs = F.col("n") * F.col("small")
+        links, wide = _links_within(rest.where(pairs <= MOST_PAIRS), signs, rows), rest.where(pairs > MOST_PAIRS)
+        if not wide.isEmpty():
+            links = links.union(_links_within(_pending(_by_prefix(wide, rows), component), signs, rows, banded=False))
+        further = checkpoint(connected_components(links, "a", "b")).toDF("c", "component")
         place = place.join(further, "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("c"))
     return (
         signed.select("id", "n_shingles", "s1", "s2")
@@ -254,7 +265,7 @@ def _hub_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component: key, id, hub, component, most (the component with most members of the bucket), and over
     the hub's buckets the most members and the most members outside `most`."""
-    at = starred.where("n > 2").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "hub", "component")
+    at = starred.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "hub", "component")
     at = checkpoint(at)
     at = gathered(at, at.count())
     sizes = at.groupBy("key", "hub", "component").agg(F.count("*").alias("own"))
@@ -266,27 +277,67 @@ def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
     return gathered(rest, rest.count())
 
 
-def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_prefix(wide: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members of wide buckets by the shingles of their prefixes, as buckets: key (the shingle), id, n (its members), hub (the shingle again: no two share tiles).
+
+    Sets that are near share PERCENT of the larger one's shingles or more, so in any one order of all shingles each of them
+    has a shared one among its first n - ceil(PERCENT n / 100) + 1. Shingles are ordered by the count of their slot.
+    """
+    kind = dict(wide.dtypes)["id"]
+    ids = checkpoint(wide.select("id").distinct())
+    texts = rows.join(_broadcast_if_small(ids), "id", "left_semi")
+    full = checkpoint(map_texts(texts, "text", {"id": "id"}, _sets, "items binary, bands array<long>, sketch binary").where("length(items) > 0").select("id", "items"))
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in full.mapInPandas(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n")).toLocalIterator():
+        counts[slot] = n
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [prefix(np.frombuffer(items, np.uint64), counts).view(np.int64) for items in batch["items"]]
+            yield pd.DataFrame({"id": batch["id"].repeat([len(k) for k in keys]), "key": np.concatenate([np.empty(0, np.int64), *keys])})
+
+    tokens = checkpoint(full.mapInPandas(prefixes, f"id {kind}, key long").distinct())
+    shared = checkpoint(tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("hub", F.col("key")))
+    return checkpoint(tokens.join(shared, "key"))
+
+
+def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for items in batch["items"]:
+            counts += np.bincount(np.frombuffer(items, np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pd.DataFrame({"slot": slots.astype(np.int32), "n": counts[slots]})
+
+
+def prefix(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, by the count of their slots and then their hash, of which a near set must hold one in its own prefix."""
+    n = len(values) - -(-PERCENT * len(values) // 100) + 1
+    return values[np.lexsort((values, counts[values % np.uint64(len(counts))]))[:n]]
+
+
+def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame, banded: bool = True) -> DataFrame:
     """Links (a, b) of components by members of a bucket that lie in different ones.
 
-    Members outside the bucket's largest component are the asking side; all members are the other side.
+    Members outside the bucket's largest component are the asking side; all members are the other side. Buckets that
+    aren't bands don't tell which of a pair's shared ones is the first, so there a pair may be compared in each.
     """
-    kind = dict(rest.dtypes)["id"]
+    kind, hub = dict(rest.dtypes)["id"], dict(rest.dtypes)["hub"]
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
     of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), chunks(n)).cast("int")
     columns = ["hub", "x", "y", "key", "id", "component"]
     asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
     asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
-    tile, made = ["hub", "x", "y", "key"], f"hub {kind}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
-    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, _near_members, made))
-    return _compared_by_sets(near, rows, tile, _component_links, kind)
+    tile, made = ["hub", "x", "y", "key"], f"hub {hub}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
+    near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, partial(_near_members, banded), made))
+    return _compared_by_sets(near, rows, tile, partial(_component_links, banded), kind)
 
 
-def _near_places(members: pd.DataFrame, held: dict):
+def _near_places(members: pd.DataFrame, held: dict, banded: bool):
     """For each row that asks and each of its id's tuples (n or set, bands, sketch): the row's place, the tuple, the other side's places and tuples, and which of these are near.
 
-    A pair counts in the first band that it shares only.
+    If buckets are bands, a pair counts in the first band that it shares only.
     """
     size = lambda x: x if np.ndim(x) == 0 else len(x)
     ids, own, asks = members["id"].to_numpy(), members["component"].to_numpy(), members["asks"].to_numpy(bool)
@@ -301,19 +352,19 @@ def _near_places(members: pd.DataFrame, held: dict):
             near = np.minimum(sizes, size(x[0])) * 100 >= PERCENT * np.maximum(sizes, size(x[0]))
             near &= (own[places] != own[i]) & ((sketches == x[2]).mean(axis=1) >= LEAST_AGREEMENT)
             hits = np.flatnonzero(near)
-            yield i, x, asked, hits[(bands[hits] == x[1]).argmax(axis=1) == (x[1] == key).argmax()]
+            yield i, x, asked, hits[(bands[hits] == x[1]).argmax(axis=1) == (x[1] == key).argmax()] if banded else hits
 
 
-def _near_members(members: pd.DataFrame, signs: pd.DataFrame) -> pd.DataFrame:
+def _near_members(banded: bool, members: pd.DataFrame, signs: pd.DataFrame) -> pd.DataFrame:
     keep = np.zeros(len(members), bool)
-    for i, _, asked, hits in _near_places(members, _by_id(signs, "n", "bands", "sketch")):
+    for i, _, asked, hits in _near_places(members, _by_id(signs, "n", "bands", "sketch"), banded):
         if len(hits):
             keep[i] = True
             keep[[asked[j][0] for j in hits.tolist()]] = True
     return members.loc[keep, ["hub", "x", "y", "key", "id", "component", "asks"]]
 
 
-def _component_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+def _component_links(banded: bool, members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     links: list[tuple] = []
     joined: dict = {}  # component to the one that it has joined in this group
     own = members["component"].to_numpy()
@@ -323,7 +374,7 @@ def _component_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             c = joined[c]
         return c
 
-    for i, x, asked, hits in _near_places(members, _by_id(sets, "items", "bands", "sketch")):
+    for i, x, asked, hits in _near_places(members, _by_id(sets, "items", "bands", "sketch"), banded):
         for j in hits.tolist():
             c, d = root(own[i]), root(own[asked[j][0]])
             if c != d and similar(x[0], asked[j][1][0]):

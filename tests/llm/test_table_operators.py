@@ -103,6 +103,40 @@ def test_resharding(spark):
     assert H.reshard(docs.limit(0).select("doc_id", "text"), F.lit(0), H.text_bytes(F.col("text")), [F.col("doc_id")], 4, 1).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_placement_against_a_plain_loop(spark, blocks):
+    """Ranges and slots, row by row, with ties, repeated rows, nulls and a very long text."""
+    texts = [None, "", "é", "tie", "tie", "x" * 40_000, *["y" * (i * 53 % 301) for i in range(200)]]
+    rows = [(i // 2 if i % 9 else None, t, i % 3 if i % 4 else 0) for i, t in enumerate(texts)] + [(7, "repeated", 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held int").coalesce(1)
+    got = H.reshard(docs, F.col("held"), H.text_bytes(F.col("text")), [F.col("doc_id"), F.col("text")], 4, 4, blocks=blocks).toPandas()
+
+    block = [r[0] for r in spark.range(len(rows)).orderBy("id").select(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks))).collect()]
+    size = [len((t or "").encode()) + 1 for _, t, _ in rows]
+    # Nulls first, then by value, then by place.
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][2], block[i], rows[i][0] is not None, rows[i][0] or 0, rows[i][1] is not None, rows[i][1] or "", i))
+    supply = [sum(s for s, r in zip(size, rows, strict=True) if r[2] == o) for o in range(4)]
+    room = [sum(supply) * (j + 1) // 4 - sum(supply) * j // 4 for j in range(4)]
+    flow = H.min_cost_flow(supply, room, [[int(i != j) for j in range(4)] for i in range(4)])
+    passed, taken, want = [0] * 4, [0] * 4, []
+    for i in order:
+        old, at = rows[i][2], passed[rows[i][2]]
+        passed[old] += size[i]
+        for shard in [old, *[j for j in range(4) if j != old]]:
+            if at < flow[old][shard]:
+                break
+            at -= flow[old][shard]
+        want.append((rows[i][0], rows[i][1], old, size[i], shard, block[i]))
+    slots = []
+    for w in sorted(want, key=lambda w: (w[4], w[2], w[5])):  # stable: within a block, the order above
+        slots.append((*w[:5], taken[w[4]]))
+        taken[w[4]] += 1
+    clean = lambda r: tuple(None if v is None or v != v else v for v in r)
+    have = [clean(r) for r in got[["doc_id", "text", "old_shard", "size", "shard", "slot"]].astype(object).itertuples(index=False)]
+    key = lambda r: (r[4], r[5])
+    assert sorted(have, key=key) == sorted(slots, key=key)
+
+
 def test_only_affected_shards_are_written(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 0), (2, 1, 2), (3, 3, 3)], "doc_id int, old_shard int, shard int")
     H.rewrite_affected(rows, str(tmp_path / "out"))

@@ -75,6 +75,43 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
+def families(members, groups, common=60, own=4):
+    """Texts of one common run of words, so that they meet in hot buckets, with an own run for each group and small edits for each member."""
+    rng = np.random.default_rng(12)
+    shared, rows = words(common, 31), []
+    for g in range(groups):
+        text = shared + words(own, 5000 + g)
+        for m in range(members):
+            new = list(text)
+            if m:
+                new[int(rng.integers(len(new)))] = f"m{m}"
+            rows.append((1000 + g * members + m, " ".join(new)))
+    return rows
+
+
+@pytest.mark.parametrize(("common", "own"), [(60, 16), (25, 9), (6, 1)])
+def test_wide_buckets_by_prefix_against_brute_force(spark, monkeypatch, common, own):
+    rows = families(3, 40, common, own) + [(1, None), (2, ""), (3, "few words"), (4, "few  WORDS"), (1000, "another text under an id that occurs")]
+    monkeypatch.setattr(M, "MOST_PAIRS", 0)
+    monkeypatch.setattr(M, "CHUNK", 16)
+    met = []
+    monkeypatch.setattr(M, "_by_prefix", lambda wide, texts, of=M._by_prefix: met.append(1) or of(wide, texts))
+    got = M.near_duplicates(docs(spark, rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_groups(rows)
+    assert met or common < 60
+
+
+def test_near_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 9, 64)
+    for n in [1, 2, 3, 4, 5, 7, 8, 11, 20, 41, 100]:
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)]))
+            if M.similar(x, y):
+                assert len(np.intersect1d(M.prefix(x, counts), M.prefix(y, counts)))
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     got = M.near_duplicates(docs(spark, [(None, "a b c"), (1, "a b c")])).collect()
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(None, None, True), (1, 1, True)}
