@@ -12,8 +12,9 @@ first. Within a bucket each member is compared with one hub, the member that mee
 most others. Only where members then still lie in several components, those outside the
 bucket's largest component are compared with all others, inside tasks, which pass on
 links only. Buckets in which that would be more than MOST_PAIRS pairs are dealt anew by
-prefix filter instead: near sets share one of the rarest quarter of their shingles, so
-their members meet by these, and most of them with nobody. Each comparison is made in tiles of bounded size: a hub and a chunk of its
+prefix filter instead: near sets share one of the rarest seventh of the smaller
+one's shingles that is in the rarest quarter of the larger one's, so members meet by these.
+Members that have a long passage in common, but not enough of it to be near, meet nobody. Each comparison is made in tiles of bounded size: a hub and a chunk of its
 members, or two chunks of a bucket; a task gets each signature or set once for all its
 tiles. Signatures are compared first, and sets are made and sent only of documents that
 have a partner whose signature is near. When this ends, each pair that shares a band has
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = checkpoint(connected_components(links, "a", "b"))
     component = gathered(component, component.count())
     place = reps.select("s1", "s2", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("s1", "s2", "c")
-    rest = _pending(starred.where("n > 2"), component)
+    rest = _pending(starred.where("n > 2").withColumn("brief", F.lit(True)), component)
     if not rest.isEmpty():
         pairs = F.col("n") * F.col("small")
         links, wide = _links_within(rest.where(pairs <= MOST_PAIRS), signs, rows), rest.where(pairs > MOST_PAIRS)
@@ -263,25 +264,32 @@ def _hub_links(members: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 
 
 def _pending(starred: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component: key, id, hub, component, most (the component with most members of the bucket), and over
-    the hub's buckets the most members and the most members outside `most`."""
-    at = starred.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "hub", "component")
+    """Members of buckets that hold more than one component: key, id, hub, component, asks, and over the hub's buckets the most members (n) and
+    the most that ask (small).
+
+    Those ask that are outside the bucket's largest component, or those that are brief there if they are fewer: of a pair to be compared one is.
+    """
+    at = starred.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "hub", "component", "brief")
     at = checkpoint(at)
     at = gathered(at, at.count())
-    sizes = at.groupBy("key", "hub", "component").agg(F.count("*").alias("own"))
-    parts = sizes.groupBy("key", "hub").agg(F.count("*").alias("parts"), F.sum("own").alias("n"), F.max("own").alias("largest"), F.max_by("component", F.struct("own", "component")).alias("most")).where("parts > 1")
-    parts = checkpoint(parts)
+    sizes = at.groupBy("key", "hub", "component").agg(F.count("*").alias("own"), F.count_if("brief").alias("briefs"))
+    parts = sizes.groupBy("key", "hub").agg(F.count("*").alias("parts"), F.sum("own").alias("n"), F.sum("briefs").alias("briefs"), F.max("own").alias("largest"), F.max_by("component", F.struct("own", "component")).alias("most")).where("parts > 1")
+    parts = parts.withColumn("outside", F.col("n") - F.col("largest")).withColumn("by_brief", F.col("briefs") < F.col("outside"))
+    parts = checkpoint(parts.withColumn("ask", F.least("briefs", "outside")).where("ask > 0"))
     parts = gathered(parts, parts.count())
-    widest = parts.groupBy("hub").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("largest")).alias("small"))
-    rest = checkpoint(at.join(parts.select("key", "most").join(widest.join(parts.select("hub", "key"), "hub"), "key"), ["key", "hub"]))
+    widest = parts.groupBy("hub").agg(F.max("n").alias("n"), F.max("ask").alias("small"))
+    rest = at.join(parts.select("key", "most", "by_brief").join(widest.join(parts.select("hub", "key"), "hub"), "key"), ["key", "hub"])
+    rest = checkpoint(rest.withColumn("asks", F.when(F.col("by_brief"), F.col("brief")).otherwise(F.col("component") != F.col("most"))).drop("brief", "by_brief", "most"))
     return gathered(rest, rest.count())
 
 
 def _by_prefix(wide: DataFrame, rows: DataFrame) -> DataFrame:
-    """Members of wide buckets by the shingles of their prefixes, as buckets: key (the shingle), id, n (its members), hub (the shingle again: no two share tiles).
+    """Members of wide buckets by the shingles of their prefixes, as buckets: key (the shingle), id, n (its members), hub (the shingle again: no two share tiles),
+    brief (whether it is in the shorter prefix, too).
 
-    Sets that are near share PERCENT of the larger one's shingles or more, so in any one order of all shingles each of them
-    has a shared one among its first n - ceil(PERCENT n / 100) + 1. Shingles are ordered by the count of their slot.
+    Near sets of m <= n shingles share t n or more, and 2 t m / (1 + t) or more, with t = PERCENT / 100. So in any one order of all
+    shingles their first shared one is among the first n - ceil(t n) + 1 of the larger set and the first m - ceil(2 t m / (1 + t)) + 1 of
+    the smaller one: a shingle that is in nobody's shorter prefix makes no bucket. Shingles are ordered by the count of their slot.
     """
     kind = dict(wide.dtypes)["id"]
     ids = checkpoint(wide.select("id").distinct())
@@ -293,11 +301,13 @@ def _by_prefix(wide: DataFrame, rows: DataFrame) -> DataFrame:
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [prefix(np.frombuffer(items, np.uint64), counts).view(np.int64) for items in batch["items"]]
-            yield pd.DataFrame({"id": batch["id"].repeat([len(k) for k in keys]), "key": np.concatenate([np.empty(0, np.int64), *keys])})
+            found = [prefix(np.frombuffer(items, np.uint64), counts) for items in batch["items"]]
+            keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in found]]).view(np.int64)
+            brief = np.concatenate([np.empty(0, bool), *[np.arange(len(k)) < m for k, m in found]])
+            yield pd.DataFrame({"id": batch["id"].repeat([len(k) for k, _ in found]), "key": keys, "brief": brief})
 
-    tokens = checkpoint(full.mapInPandas(prefixes, f"id {kind}, key long").distinct())
-    shared = checkpoint(tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("hub", F.col("key")))
+    tokens = checkpoint(full.mapInPandas(prefixes, f"id {kind}, key long, brief boolean").groupBy("id", "key").agg(F.max("brief").alias("brief")))
+    shared = checkpoint(tokens.groupBy("key").agg(F.count("*").alias("n"), F.max("brief").alias("some")).where("n > 1 and some").drop("some").withColumn("hub", F.col("key")))
     return checkpoint(tokens.join(shared, "key"))
 
 
@@ -310,16 +320,16 @@ def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": slots.astype(np.int32), "n": counts[slots]})
 
 
-def prefix(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, by the count of their slots and then their hash, of which a near set must hold one in its own prefix."""
-    n = len(values) - -(-PERCENT * len(values) // 100) + 1
-    return values[np.lexsort((values, counts[values % np.uint64(len(counts))]))[:n]]
+def prefix(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix of a set, rarest shingles first, by the count of their slots and then their hash; and the length of the shorter prefix in it."""
+    n, m = (len(values) - -(-part * len(values) // whole) + 1 for part, whole in ((PERCENT, 100), (2 * PERCENT, 100 + PERCENT)))
+    return values[np.lexsort((values, counts[values % np.uint64(len(counts))]))[:n]], m
 
 
 def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame, banded: bool = True) -> DataFrame:
     """Links (a, b) of components by members of a bucket that lie in different ones.
 
-    Members outside the bucket's largest component are the asking side; all members are the other side. Buckets that
+    Members that ask are one side; all members are the other side. Buckets that
     aren't bands don't tell which of a pair's shared ones is the first, so there a pair may be compared in each.
     """
     kind, hub = dict(rest.dtypes)["id"], dict(rest.dtypes)["hub"]
@@ -327,7 +337,7 @@ def _links_within(rest: DataFrame, signs: DataFrame, rows: DataFrame, banded: bo
     every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
     of = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), chunks(n)).cast("int")
     columns = ["hub", "x", "y", "key", "id", "component"]
-    asking = rest.where("component <> most").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
+    asking = rest.where("asks").withColumn("x", of("small", 1)).withColumn("y", every("n")).select(*columns, F.lit(True).alias("asks"))
     asked = rest.withColumn("y", of("n", 2)).withColumn("x", every("small")).select(*columns, F.lit(False).alias("asks"))
     tile, made = ["hub", "x", "y", "key"], f"hub {hub}, x int, y int, key long, id {kind}, component {kind}, asks boolean"
     near = checkpoint(_in_tiles(checkpoint(asking.union(asked)), signs, 450, tile, partial(_near_members, banded), made))
