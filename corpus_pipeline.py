@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandgraph.llm import decontaminate, minhash, packing, pii, toxicity
 from strandgraph.llm.common import delete, shared_folder, table
+from strandgraph.operators.graph import passing_cuts
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +55,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet to the shared folder and read again.
 
-    A stage's files are deleted once the next stage's are written, so that two stages' files are held at most.
+    A stage's files are deleted once the next stage's are written, so that two stages' files are held at most; the checkpoints
+    of a stage are deleted once its own files are written.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     used = None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{number}_{name}")
+        with passing_cuts(spark):
+            stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{number}_{name}")
         docs = spark.read.parquet(out)
         if used:
             delete(spark, used)

@@ -6,6 +6,9 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,10 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+#: The folders of the checkpoints made since the innermost `passing_cuts` was entered; None outside.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and cuts its lineage there."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if (made := _passing.get()) is not None:
+        made.append(out._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return out
 
 
 def delete(spark: SparkSession, folder: str) -> None:
@@ -43,6 +53,21 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing_cuts(spark: SparkSession) -> Iterator[None]:
+    """Deletes the checkpoints made within once it is left, whether by its end or by an error.
+
+    What is computed from them has to be written before: nothing that is still to run may read them.
+    """
+    token = _passing.set(made := [])
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for folder in made:
+            delete(spark, folder)
+
+
 class Rounds:
     """Tables of a loop's rounds, each written to the shared folder and read again.
 
