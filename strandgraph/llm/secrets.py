@@ -31,6 +31,8 @@ WORDS = ("passw", "secret", "token", "api")
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 #: A value of more owners than this is a copied example; less random ones aren't live.
 MOST_OWNERS, LEAST_BITS = 2, 3.0
+#: The classes of values with more uses than this are broadcast: of them there is at most one for so many spans. The others' are joined by shuffle.
+MANY_USES = 100_000
 
 
 def entropy(value: str) -> float:
@@ -102,17 +104,26 @@ def ownership(found: DataFrame, most_owners: int = MOST_OWNERS, least_bits: floa
     )
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+def judged(each: DataFrame, owned: DataFrame, many_uses: int = MANY_USES) -> DataFrame:
+    """The rows of each with the class of their hash; no value, however much it is copied, meets in one task."""
+    classes = owned.select("hash", "class", (F.col("n_uses") > many_uses).alias("many"))
+    often, seldom = classes.where("many").drop("many"), classes.where("not many").drop("many")
+    return each.join(F.broadcast(often), "hash").unionByName(each.join(F.broadcast(often.select("hash")), "hash", "left_anti").join(seldom, "hash"))
+
+
+def secret_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", many_uses: int = MANY_USES
+) -> DataFrame:
     """One row per row of docs: id, base (array of kind, start, end), extra (likewise, of kind live), n_live, n_example.
 
     Null and empty texts have no spans. A null or missing owner counts as one owner. Repeated rows are scanned one
-    by one and make a value no more widely owned. An empty table gives an empty result.
+    by one and make a value no more widely owned. Whole texts are scanned, of any length. An empty table gives an empty result.
     """
     found = checkpoint(candidates(docs, id_col, text_col, owner_col))
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = each.join(ownership(found).select("hash", "class"), "hash")
+    classed = judged(each, checkpoint(ownership(found)), many_uses)
     base = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "kind", "end")
-    gathered = judged.groupBy("row").agg(
+    gathered = classed.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") != "loose", base))).alias("base"),
         F.array_sort(F.collect_list(F.when((F.col("class") == "live"), F.struct("start", "end")))).alias("live"),
         F.count_if(F.col("class") == "live").alias("n_live"),

@@ -1,6 +1,10 @@
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strandgraph.llm import decontaminate, packing, pii, toxicity
-from strandgraph.llm.common import folded, table
+from strandgraph.llm.common import folded, shared_folder, table
 
 from .test_text_operators import brute_groups
 
@@ -34,3 +38,30 @@ def test_stages(spark):
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_odd_rows_go_through_run_and_checkpoints_go(spark, tmp_path):
+    """Null, empty, repeated and very long texts, a null id and a clashing column through all stages; no checkpoint stays."""
+    long = " ".join(f"w{i}x{i * i % 977}" for i in range(150_000))
+    odd = [(-1, None), (-2, ""), (-3, "  \n "), (-4, "a row of its own, twice"), (-4, "a row of its own, twice"), (-5, long), (-6, long + " more"), (None, "a row without an id")]
+    have = table(spark, SF, "documents")
+    extra = [c for c in have.columns if c not in ("doc_id", "text")]
+    rows = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(dict(have.dtypes)[c]).alias(c) for c in extra])
+    have.unionByName(rows).withColumn("component_id", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("rdd-*"))
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id < 0 or doc_id is null").collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["length"]))
+    assert set(folder.rglob("rdd-*")) <= before
+    e = packing.WordEncoder(packing.public_tokenizer())
+    size = lambda text: len(e._encode([text])[0]) // 4 + 1
+    # -6 is a near-duplicate of -5, the smaller id of the two stays; both rows that repeat an id stay.
+    assert set(got) == {None, -1, -2, -3, -4, -6}
+    assert got[-1] == got[-2] == [(0, 1)]
+    assert got[-3] == [(0, size("  \n "))]
+    assert got[-4] == [(0, size("a row of its own, twice"))] * 2
+    assert got[None] == [(0, size("a row without an id"))]
+    assert sum(n for _, n in got[-6]) == size(long + " more") and len(got[-6]) > 100

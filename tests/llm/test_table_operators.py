@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 from strandgraph.llm import chat as C
 from strandgraph.llm import neighbours as N
-from strandgraph.llm import queries
+from strandgraph.llm import queries, secrets
 from strandgraph.llm import sharding as H
 from strandgraph.llm import urlfilter as U
-from strandgraph.llm.common import connected_components
+from strandgraph.llm.common import connected_components, table
 
 from ..oracle import connection, spark_rows, sql_rows
 
@@ -273,5 +273,8 @@ def test_ownership_secrets_equal_sql_with_owners(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = spark_rows(queries.QUERIES["op9_ownership_secrets"](spark, str(tmp_path)))
     assert got == sql_rows(con, queries.SQL["op9_ownership_secrets"])
+    # Values of two or more uses broadcast, of one use joined by shuffle: the same spans.
+    spans = lambda many: sorted(map(str, secrets.secret_spans(table(spark, str(tmp_path), "documents"), many_uses=many).collect()))
+    assert spans(1) == spans(0) == spans(secrets.MANY_USES)
     column = {n: [r[i] for r in got[1]] for i, n in enumerate(got[0])}
     assert sum(column["n_live"]) > 0 and sum(column["n_example"]) > 0
