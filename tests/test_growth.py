@@ -82,3 +82,11 @@ def test_edges_made_once_are_not_folded_again(spark):
     assert "concat" not in "".join(x for x in plan(triples(graph).groupBy("p").count()).splitlines() if "Aggregate" in x and "concat(order:" in x)
     pair = Graph(spark.createDataFrame([("a", "A", "a", None)], "id string, cls string, name string, attrs map<string,string>"), spark.createDataFrame([("r", "a", "a")] * 2, "type string, subject_id string, object_id string"))
     assert triples(pair).where("p = 'r'").count() == 1
+
+
+def test_isolates_need_no_grouped_edges(spark):
+    graph = star_graph(spark, SF)
+    rows = P.isolates(graph.of("order"), graph.typed("orderHasPart"))
+    assert plan(rows).count("Aggregate") == 2
+    assert graph.typed("nationInRegion", "supplierInNation").count() == graph.edges.where("type in ('nationInRegion', 'supplierInNation')").count()
+    assert graph.typed("none").count() == 0
