@@ -90,3 +90,11 @@ def test_isolates_need_no_grouped_edges(spark):
     assert plan(rows).count("Aggregate") == 2
     assert graph.typed("nationInRegion", "supplierInNation").count() == graph.edges.where("type in ('nationInRegion', 'supplierInNation')").count()
     assert graph.typed("none").count() == 0
+
+
+def test_contingency_groups_members_twice(spark):
+    members = spark.createDataFrame([("u1", "i", "c"), ("u1", "i", "c"), ("u1", "j", "c"), ("u2", None, "d"), ("u3", "i", "d")], "u string, i string, c string")
+    cells = S.contingency(members, "i", "c", "u")
+    assert "LogicalRDD" in plan(cells) and plan(cells).count("Aggregate") <= 6
+    assert {(r["i"], r["c"]): (r["a"], r["b"], r["c"], r["d"])[:2] for r in cells.collect()} == {("i", "c"): (1, 1), ("i", "d"): (1, 1), ("j", "c"): (1, 0), ("j", "d"): (0, 1)}
+    assert G.dealt(members, 10 * G.TASK_ROWS, "u").rdd.getNumPartitions() == 10
