@@ -98,3 +98,10 @@ def test_contingency_groups_members_twice(spark):
     assert "LogicalRDD" in plan(cells) and plan(cells).count("Aggregate") <= 6
     assert {(r["i"], r["c"]): (r["a"], r["b"], r["c"], r["d"])[:2] for r in cells.collect()} == {("i", "c"): (1, 1), ("i", "d"): (1, 1), ("j", "c"): (1, 0), ("j", "d"): (0, 1)}
     assert G.dealt(members, 10 * G.TASK_ROWS, "u").rdd.getNumPartitions() == 10
+
+
+def test_statements_meet_without_joins(spark):
+    edges = spark.createDataFrame([("a", "r", "b", 1), ("a", "r", "b", 1), ("a", "r", "b", 2), ("a", "s", "b", 3), ("a", "r", None, 4), ("c", "r", "d", None)], "subject_id string, type string, object_id string, n_support long")
+    rows = catalogue.provenance(edges)
+    assert "Join" not in plan(rows)
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", "b", 1), ("a", "b", 2), ("a", "b", 3)]
