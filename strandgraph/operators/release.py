@@ -103,6 +103,8 @@ def case_records(graph: Graph, types: list[str], kind: str = "CaseRecord") -> Da
     """id and an array of distinct object names for each relation type, in the order of the edges' ordinal."""
     cases = graph.nodes.where(F.col("cls") == kind).select(F.col("id").alias("subject_id"))
     named = graph.edges.where(F.col("type").isin(*types)).join(graph.nodes.select(F.col("id").alias("object_id"), "name"), "object_id")
-    rows = named.groupBy("subject_id").pivot("type", types).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "name"))), lambda x: x["name"])))
+    # Dealt by case first: every group is then whole in its task, and no buffer of a part of one is shuffled.
+    rows = named.select("subject_id", "type", "ordinal", "name").repartition("subject_id").groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("type", "ordinal", "name"))).alias("all"))
+    of = lambda t: F.array_distinct(F.transform(F.filter("all", lambda x: x["type"] == t), lambda x: x["name"]))
     none = F.array().cast("array<string>")
-    return cases.join(rows, "subject_id", "left").select(F.col("subject_id").alias("id"), *[F.coalesce(F.col(t), none).alias(t) for t in types])
+    return cases.join(rows, "subject_id", "left").select(F.col("subject_id").alias("id"), *[F.coalesce(of(t), none).alias(t) for t in types])

@@ -105,3 +105,11 @@ def test_statements_meet_without_joins(spark):
     rows = catalogue.provenance(edges)
     assert "Join" not in plan(rows)
     assert sorted(tuple(r) for r in rows.collect()) == [("a", "b", 1), ("a", "b", 2), ("a", "b", 3)]
+
+
+def test_case_records_are_dealt_by_case(spark):
+    nodes = spark.createDataFrame([("k", "C", "k"), ("l", "C", "l"), ("a", "A", "a"), ("b", "A", "b"), ("z", "A", None)], "id string, cls string, name string")
+    edges = spark.createDataFrame([("k", "b", "r", 1), ("k", "a", "r", 2), ("k", "b", "r", 3), ("k", "a", "s", 0), ("k", "z", "s", 1), ("k", "a", "t", 0), ("k", "gone", "r", 0)], "subject_id string, object_id string, type string, ordinal int")
+    rows = R.case_records(Graph(nodes, edges), ["r", "s"], "C")
+    assert "RepartitionByExpression" in plan(rows)
+    assert {tuple(map(str, r)) for r in rows.collect()} == {("k", "['b', 'a']", "['a', None]"), ("l", "[]", "[]")}
