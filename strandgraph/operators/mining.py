@@ -13,7 +13,8 @@ def itemsets(members: DataFrame, basket: str, item: str, min_support: float, lon
     """items (ordered array), n of itemsets that at least min_support of all baskets hold.
 
     Level by level: each basket's frequent items are extended by its larger frequent items, and an
-    extension counts only if all its subsets one smaller are frequent. Each level is written before the next reads it.
+    extension counts only if all its subsets one smaller are frequent. Each level is written before the next reads it;
+    of what baskets hold, only the frequent itemsets that are to grow on are written.
     """
     rounds = Rounds(members.sparkSession)
     rows = rounds.put("rows", members.select(basket, item).distinct())
@@ -24,14 +25,15 @@ def itemsets(members: DataFrame, basket: str, item: str, min_support: float, lon
     own = rounds.put("own", rows.join(level.select(F.col("items")[0].alias(item)), item, "left_semi"))
     held = own.select(basket, F.array(item).alias("items"))
     for size in range(2, longest + 1):
-        grown = rounds.put("grown", held.join(own, basket).where(F.element_at("items", -1) < F.col(item)).select(basket, F.array_append("items", F.col(item)).alias("items")))
+        grown = held.join(own, basket).where(F.element_at("items", -1) < F.col(item)).select(basket, F.array_append("items", F.col(item)).alias("items"))
         counts = keep(grown.groupBy("items").agg(F.count("*").alias("n")))
         if size > 2:
             subsets = counts.select("items", F.explode(F.transform(F.col("items"), lambda x: F.array_remove("items", x))).alias("sub"))
             known = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size)
             counts = counts.join(known.select("items"), "items", "left_semi")
         level = rounds.put(f"level{size}", counts)
-        held = rounds.put("held", grown.join(level.select("items"), "items", "left_semi").select(basket, "items"))
+        if size < longest:
+            held = rounds.put("held", grown.join(level.select("items"), "items", "left_semi").select(basket, "items"))
         out = out.union(level)
     return rounds.result(out)
 

@@ -113,3 +113,12 @@ def test_case_records_are_dealt_by_case(spark):
     rows = R.case_records(Graph(nodes, edges), ["r", "s"], "C")
     assert "RepartitionByExpression" in plan(rows)
     assert {tuple(map(str, r)) for r in rows.collect()} == {("k", "['b', 'a']", "['a', None]"), ("l", "[]", "[]")}
+
+
+def test_last_level_of_itemsets_is_not_written(spark, monkeypatch):
+    put, names = G.Rounds.put, []
+    monkeypatch.setattr(G.Rounds, "put", lambda self, name, rows: names.append(name) or put(self, name, rows))
+    members = spark.createDataFrame([(b, x) for b, xs in [(1, "abc"), (2, "abc"), (3, "ab")] for x in xs], "basket int, item string")
+    sets = {("".join(r["items"]), r["n"]) for r in M.itemsets(members, "basket", "item", 0.5).collect()}
+    assert sets == {("a", 3), ("b", 3), ("c", 2), ("ab", 3), ("ac", 2), ("bc", 2), ("abc", 2)}
+    assert names.count("held") == 1 and "grown" not in names
