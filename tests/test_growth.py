@@ -122,3 +122,11 @@ def test_last_level_of_itemsets_is_not_written(spark, monkeypatch):
     sets = {("".join(r["items"]), r["n"]) for r in M.itemsets(members, "basket", "item", 0.5).collect()}
     assert sets == {("a", 3), ("b", 3), ("c", 2), ("ab", 3), ("ac", 2), ("bc", 2), ("abc", 2)}
     assert names.count("held") == 1 and "grown" not in names
+
+
+def test_first_items_are_ranked_not_gathered(spark):
+    rows = spark.createDataFrame([("g", x) for x in "dcbaab"] + [("g", None), ("h", None), (None, "x")], "g string, x string")
+    got = P.counted_with_first(rows, "g", "x", 3, "first")
+    assert {r["g"]: (r["n"], r["first"]) for r in got.collect()} == {"g": (7, ["a", "b", "c"]), "h": (1, []), None: (1, ["x"])}
+    made = registry.QUERIES["q12_by_attribute"](spark, SF)
+    assert "collect_set" not in plan(made)
