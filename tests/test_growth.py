@@ -15,7 +15,7 @@ from strandgraph.operators.triples import triples
 from strandgraph.plans import catalogue, registry
 from strandgraph.sources.testdata import star_graph
 
-from .oracle import connection
+from .oracle import TABLES, connection, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,17 @@ def test_ties_of_the_inventory_are_settled(spark, tmp_path):
     assert got == [[f"s{999 - k:03d}"] for k in range(199, 149, -1)]
 
 
+def test_parts_without_a_name_come_last_in_the_inventory(spark, tmp_path):
+    parts = "select range p_partkey, case when range % 10 > 0 then 'p' || lpad(range::varchar, 2, '0') end p_name, 'b' p_brand, 't' p_type, 3 p_size, 1.0::double p_retailprice from range(60)"
+    connection(SF).execute(f"copy ({parts}) to '{tmp_path}/part.parquet' (format parquet)")
+    for name in TABLES:
+        if name != "part":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    name = "q08_inventory_with_optional_targets"
+    got = spark_rows(registry.QUERIES[name](spark, str(tmp_path)))
+    assert got == sql_rows(connection(tmp_path), registry.SQL[name])
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_audit_beside_a_plain_loop(spark, monkeypatch, few):
     monkeypatch.setattr(Q, "FEW_ENDS", few)
