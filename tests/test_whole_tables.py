@@ -4,6 +4,8 @@ from strandgraph.operators import stats as S
 from strandgraph.plans import analytics, catalogue, registry, studies  # noqa: F401
 from strandgraph.sources.testdata import star_graph, table
 
+from .oracle import TABLES, connection, spark_rows, sql_rows
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -60,3 +62,23 @@ def test_exact_test_at_millions_of_units(spark):
 
         up = 1 + beside(1)
         assert math.isclose(p, up / (up + beside(-1)), rel_tol=1e-10)
+
+
+def test_isolates_of_every_kind_at_every_edge(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    changed = {
+        "region": "select * from region union all select 90, 'EMPTY' union all select 91, null",
+        "part": "select * from part union all select range + 1000000, 'lone', 'b', 't', 1, 1.0 from range(3)",
+        "customer": "select * from customer union all select null, 'no key', 1, 0.0, 's'",
+        "lineitem": "select * replace (nullif(l_partkey, 7) as l_partkey) from lineitem where l_orderkey % 2 = 0",
+    }
+    for name in TABLES:
+        if name in changed:
+            connection(small).execute(f"copy ({changed[name]}) to '{tmp_path}/{name}.parquet' (format parquet)")
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    made = registry.QUERIES["q25_isolates_per_kind"](spark, str(tmp_path))
+    got = {r["cls"]: r["n"] for r in made.collect()}
+    lines = connection(tmp_path).execute("select count(*) from part where p_partkey not in (select l_partkey from lineitem where l_partkey is not null)").fetchone()[0]
+    assert got == {"region": 2, "nation": 0, "customer": 1, "supplier": 0, "part": lines, "order": 0} and lines >= 4
+    assert spark_rows(made) == sql_rows(connection(tmp_path), registry.SQL["q25_isolates_per_kind"])
